@@ -18,6 +18,9 @@ TREES, PSI, CANDIDATE = 32, 128, 0.5
 #: Exact check: longest spike and shortest frozen stretch in readings; distance from the level, in units of the usual noise, of a spike; part of the usual noise within which a stretch counts as frozen.
 SPIKE_MAX, FROZEN_MIN, FAR, STILL = 9, 10, 9.0, 0.3
 DAY_MS = 86_400_000
+#: Kinds of case by their code in the Python workers, whose results stay numeric; 0 is none.
+KINDS = ("limit", "spike", "frozen")
+LIMIT, SPIKE, FROZEN = 1, 2, 3
 
 
 def _median(x: np.ndarray, half: int) -> np.ndarray:
@@ -64,15 +67,15 @@ def _still(y: np.ndarray, width: float) -> list[tuple[int, int]]:
 
 
 def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int = 0) -> pd.DataFrame:
-    """score, kind of each reading of one source in order of time, kind being `limit`, `spike`, `frozen` or None.
+    """score, kind of each reading of one source in order of time, kind being LIMIT, SPIKE, FROZEN or 0.
 
-    A reading outside [low, high] (a NaN limit is none) or infinite is `limit`, by rule. NaN is never a case and takes no part. The rest get four features - distance from the rolling level, difference to the nearer neighbour, distance from the usual value at this time of day, length of the still stretch it lies in - and a score by a forest fitted on the source's own readings, where a still stretch or an off phase counts once, else a long one would make itself look normal. Readings that score CANDIDATE or more go to an exact check: a spike must leave and come back to the same level within SPIKE_MAX readings, a frozen stretch must last FROZEN_MIN readings, and values of 0 that come back regularly are off phases and not cases.
+    A reading outside [low, high] (a NaN limit is none) or infinite is LIMIT, by rule. NaN is never a case and takes no part. The rest get four features - distance from the rolling level, difference to the nearer neighbour, distance from the usual value at this time of day, length of the still stretch it lies in - and a score by a forest fitted on the source's own readings, where a still stretch or an off phase counts once, else a long one would make itself look normal. Readings that score CANDIDATE or more go to an exact check: a spike must leave and come back to the same level within SPIKE_MAX readings, a frozen stretch must last FROZEN_MIN readings, and values of 0 that come back regularly are off phases and not cases.
     """
     n = len(value)
-    score, kind = np.zeros(n), np.full(n, None, dtype=object)
+    score, kind = np.zeros(n), np.zeros(n, dtype=np.int8)
     with np.errstate(invalid="ignore"):
         out = np.isinf(value) | (value < low) | (value > high)
-    kind[out] = "limit"
+    kind[out] = LIMIT
     score[out] = 1.0
     at = np.flatnonzero(~np.isnan(value) & ~out)
     y = value[at]
@@ -130,10 +133,10 @@ def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int
     candidate = own >= CANDIDATE
     for s, e in still:
         if candidate[s:e].mean() >= 0.5:
-            kind[at[s:e]] = "frozen"
+            kind[at[s:e]] = FROZEN
     if len(rest) and noise > 0:
         for k in _spikes(y[rest], candidate[rest], FAR * noise):
-            kind[at[rest[k]]] = "spike"
+            kind[at[rest[k]]] = SPIKE
     return pd.DataFrame({"score": score, "kind": kind})
 
 
@@ -182,13 +185,13 @@ def judged_readings(samples: DataFrame) -> DataFrame:
     near = F.when(F.col("cut") & (inside < F.col("margin")) & (k > 0), k - 1).when(F.col("cut") & (inside >= F.col("period") - F.col("margin")), k + 1)
     rows = rows.withColumn("k", k).withColumn("p", F.explode(F.array_compact(F.array(k, near))))
     rows = rows.select("series_ref", "p", "sample_ts", "value", "low", "high", (F.col("p") == F.col("k")).alias("own"))
-    return rows.groupBy("series_ref", "p").applyInPandas(_judge_group, "series_ref long, sample_ts long, value double, score double, kind string")
+    found = rows.groupBy("series_ref", "p").applyInPandas(_judge_group, "series_ref long, sample_ts long, value double, score double, code byte")
+    kind = F.when(F.col("code") > 0, F.element_at(F.array(*map(F.lit, KINDS)), F.col("code").cast("int")))
+    return found.select("series_ref", "sample_ts", "value", "score", kind.alias("kind"))
 
 
 def _judge_group(g: pd.DataFrame) -> pd.DataFrame:
     own = g["own"].to_numpy()
-    if not own.any():  # a margin after the last period
-        return pd.DataFrame({"series_ref": [], "sample_ts": [], "value": [], "score": [], "kind": []}).astype({"series_ref": "int64", "sample_ts": "int64"})
     order = np.argsort(g["sample_ts"].to_numpy(), kind="stable")
     ts, value = g["sample_ts"].to_numpy()[order], g["value"].to_numpy(dtype=float)[order]
     low, high = (float(g[c].iloc[0]) if pd.notna(g[c].iloc[0]) else np.nan for c in ("low", "high"))
@@ -197,4 +200,4 @@ def _judge_group(g: pd.DataFrame) -> pd.DataFrame:
     found.insert(0, "series_ref", ref)
     found.insert(1, "sample_ts", ts)
     found.insert(2, "value", value)
-    return found[own[order]]
+    return found[own[order]].rename(columns={"kind": "code"})
