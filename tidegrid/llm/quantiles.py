@@ -151,18 +151,33 @@ def sketches(values: DataFrame, group: str, column: str, k: int = K, high: bool
 
 
 def merge_sketches(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., sketch): the sketches of equal keys merged, whatever tasks, days or files they come from. With a column part among the keys this is a first step that leaves at most FAN sketches per group."""
+    """(keys..., sketch): the sketches of equal keys merged, whatever tasks, days or files they come from. With a column part among the keys this is a first step that leaves at most FAN sketches per group. Rows come sorted by key and are merged as they pass, so a task holds one running sketch, however many a group has."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        first = Sketch.unpack(g["sketch"].iloc[0])
-        for s in g["sketch"].iloc[1:]:
-            first.merge(Sketch.unpack(s))
-        out = g[keys].iloc[:1].copy()
-        out["sketch"] = [first.pack()]
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, packed, sketch = None, None, None
+        schema = None
+
+        def give(done: list) -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k, _ in done], schema.field(c).type) for i, c in enumerate(keys)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([v for _, v in done], pa.binary())], [*keys, "sketch"])
+
+        for batch in batches:
+            schema = batch.schema
+            done = []
+            for *key, data in zip(*(batch.column(c).to_pylist() for c in (*keys, "sketch"))):
+                if key != current:
+                    if current is not None:
+                        done.append((current, sketch.pack() if sketch else packed))
+                    current, packed, sketch = key, data, None
+                else:  # a group of one sketch is never unpacked
+                    sketch = (sketch or Sketch.unpack(packed)).merge(Sketch.unpack(data))
+            if done:
+                yield give(done)
+        if current is not None:
+            yield give([(current, sketch.pack() if sketch else packed)])
 
     fields = ", ".join(f"`{k}` {parts.schema[k].dataType.simpleString()}" for k in keys)
-    return parts.select(*keys, "sketch").groupBy(*keys).applyInPandas(run, f"{fields}, sketch binary")
+    return parts.select(*keys, "sketch").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{fields}, sketch binary")
 
 
 def percentiles(merged: DataFrame, keys: list[str], ps: tuple[float, ...]) -> DataFrame:
