@@ -40,7 +40,7 @@ class Mix:
         plan = plan.withColumn("share", F.col("share") / F.sum("share").over(all_targets))
         reach = F.min(F.col("have") * F.col("max_repeats") / F.col("share")).over(all_targets)
         plan = plan.withColumn("total", reach if total_tokens is None else F.lit(float(total_tokens)))
-        plan = plan.withColumn("budget", F.coalesce(F.least(F.round(F.col("share") * F.col("total")).cast("long"), F.col("have") * F.col("max_repeats")), F.lit(0)))
+        plan = plan.withColumn("budget", F.when(F.col("share").isNotNull(), F.least(F.round(F.col("share") * F.col("total")).cast("long"), F.col("have") * F.col("max_repeats"))).otherwise(F.lit(0)))
         plan = plan.withColumn("epochs", F.when(F.col("have") > 0, F.floor(F.col("budget") / F.col("have"))).otherwise(F.lit(0)))
         self.plan = plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("have"))
 

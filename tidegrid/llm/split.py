@@ -96,8 +96,8 @@ def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
 
     A token has at least one byte, so a text of up to limit bytes needs no encoding; only longer ones are sent to Python, each to one task and one after the other.
     """
-    if overlap < 0 or overlap + 4 > (limit - overlap) // 8:
-        raise ValueError("overlap must be under about a ninth of limit")
+    if overlap < 0 or overlap + 4 > (limit - overlap) // 4:
+        raise ValueError("overlap must be under about a fifth of limit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = tokens.encoder(folder, name)
