@@ -151,6 +151,15 @@ def test_off_phases_trends_and_quiet_sources_are_no_cases():
     assert not kinds(ts[:60], np.full(60, np.nan)).any()
 
 
+def test_a_spike_soon_after_a_lasting_change():
+    ts, v = waves(600, 6)
+    v[300:] += 25
+    v[304:307] -= 20
+    want = np.zeros(600, int)
+    want[304:307] = spikes.SPIKE
+    assert (kinds(ts, v) == want).all()
+
+
 def test_every_reading_is_judged_once_also_in_periods(spark, monkeypatch):
     monkeypatch.setattr(spikes, "PERIOD_READINGS", 300)
     ts, v = waves(1000, 4)

@@ -156,6 +156,8 @@ def _spikes(z: np.ndarray, candidate: np.ndarray, far: float) -> np.ndarray:
                 break
             after = np.median(z[i + k : i + k + 5])
             if abs(z[i + k] - before) < 0.5 * least and abs(after - before) < 0.5 * least and np.abs(z[i : i + k] - after).min() > far:
+                if _returns(z, jumps, i, k, before):
+                    break
                 if candidate[i : i + k].any():
                     hit[i : i + k] = True
                 done = i + k
@@ -163,6 +165,17 @@ def _spikes(z: np.ndarray, candidate: np.ndarray, far: float) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
+def _returns(z: np.ndarray, jumps: np.ndarray, i: int, k: int, before: float) -> bool:
+    """Whether the source soon jumps back to the level of z[i : i + k] and stays there: then i is a lasting change, and what follows it a spike the other way."""
+    up = z[i] > z[i - 1]
+    for j in jumps[(jumps > i + k) & (jumps <= i + k + SPIKE_MAX)]:
+        if (z[j] > z[j - 1]) == up:
+            later = np.median(z[j : j + SPIKE_MAX])
+            if abs(later - np.median(z[i : i + k])) < abs(later - before):
+                return True
+    return False
+
+
 def judged_readings(samples: DataFrame) -> DataFrame:
     """(series_ref, sample_ts, value, score, kind) for every reading; see judge() for kind.
 
