@@ -53,7 +53,8 @@ def usable_samples(documents: DataFrame, series: DataFrame, keep: list[str]) ->
         "sample_ts",
         parsed_value(F.col("sample_value"), F.col("value_text")).alias("value"),
         F.coalesce(F.concat(F.lit("L"), canonical_text(F.col("labels"))), F.concat(F.lit("R"), F.col("series_ref").cast("string"))).alias("_key"),
-    ).where("value is not null and sample_ts is not null and _key is not null")
+    ).where("value is not null and sample_ts is not null")
+    # No filter on _key: it would be pushed below the projection and work the key out once more. A null key's hash is no key of the catalog.
     docs = docs.select("row_id", "sample_ts", "value", *_hashes(F.col("_key")))
     joined = docs.join(small_side(own), ["_k1", "_k2"]).where("sample_ts between min_ts and max_ts")
     return joined.select("row_id", "sample_ts", "value", *names)
