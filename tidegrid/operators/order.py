@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.model import SeriesFrame, clean
+from tidegrid.session import checkpointed
 
 #: Spellings of sort keys.
 KEYS = {"avg": "avg", "average": "avg", "current": "current", "max": "max", "maximum": "max", "min": "min", "minimum": "min", "stddev": "stddev", "sum": "sum", "name": "name"}
@@ -59,8 +61,11 @@ def top_k(f: SeriesFrame, k: int = 10, by: str = "current", direction: str = "de
     return head(sort_series(f, by, direction), k)
 
 
-def ranked(f: SeriesFrame):
-    """meta with `ord` from 1: the place of each series. Series, not samples, are numbered; it is meant for results."""
-    from pyspark.sql import Window
-
-    return f.alive().meta.withColumn("ord", F.row_number().over(Window.orderBy(*_ordering(f))))
+def ranked(f: SeriesFrame) -> DataFrame:
+    """meta with `ord` from 1: the place of each series. The series are sorted by range over all tasks and written once; each task's rows are numbered from the number of rows before it, so no task sees all series."""
+    m = checkpointed(f.alive().meta.orderBy(*_ordering(f)).withColumn("_m", F.monotonically_increasing_id()))
+    m = m.withColumn("_part", F.shiftright("_m", 33))
+    before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per task
+    counts = m.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return m.join(counts, "_part").withColumn("ord", place.cast("int")).drop("_m", "_part", "_before")

@@ -12,6 +12,7 @@ from tidegrid.model import SeriesFrame
 from tidegrid.plans import m3
 from tidegrid.plans.lower import Engine
 from tidegrid.plans.lower import table as flat
+from tidegrid.queries.usable_sql import USABLE
 from tidegrid.sources.output import matrix
 from tidegrid.sources.scan import DocumentSource, TableSource, UnionSource, label_statistics, label_values
 from tidegrid.sources.tables import table
@@ -80,12 +81,12 @@ def _nearest(p: float, interpolate: bool = False) -> str:
 
 _LIST = "x AS (SELECT event_type, ts, list_sort(list(v)) AS l, count(*) AS n FROM pts GROUP BY ALL)"
 _ROLL = f"x AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev > {STEP} THEN 1 ELSE 0 END) OVER ({_S} ORDER BY ts) AS part FROM (SELECT *, lag(ts) OVER ({_S} ORDER BY ts) AS prev FROM pts))"
-_RATE = """x AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pv,
-    last_value(CASE WHEN v IS NOT NULL THEN ts END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pt FROM (SELECT t.event_type, g.ts, b.v FROM (SELECT DISTINCT event_type FROM bytype) t CROSS JOIN (SELECT unnest(generate_series({s}, {l}, {st})) AS ts) g LEFT JOIN bytype b USING (event_type, ts))),
+_RATE = """x AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY {k} ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pv,
+    last_value(CASE WHEN v IS NOT NULL THEN ts END IGNORE NULLS) OVER (PARTITION BY {k} ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pt FROM ({source})),
 y AS (SELECT *, CASE WHEN v IS NOT NULL THEN CASE WHEN ts - pt <= {ms} THEN (CASE WHEN v < pv THEN v ELSE v - pv END) * 1000.0 / (ts - pt) ELSE 'nan'::DOUBLE END END AS own FROM x),
-z AS (SELECT *, first_value(CASE WHEN pt IS NULL AND v IS NOT NULL THEN 'nan'::DOUBLE ELSE own END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM y),
-w AS (SELECT event_type, ts, avg(CASE WHEN NOT isnan(r) THEN r END) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS m, count(CASE WHEN NOT isnan(r) THEN r END) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS c FROM z)
-SELECT event_type, ts, round(m, 9) AS value FROM w WHERE c = {n}"""
+z AS (SELECT *, first_value(CASE WHEN pt IS NULL AND v IS NOT NULL THEN 'nan'::DOUBLE ELSE own END IGNORE NULLS) OVER (PARTITION BY {k} ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM y),
+w AS (SELECT {k}, ts, avg(CASE WHEN NOT isnan(r) THEN r END) OVER (PARTITION BY {k} ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS m, count(CASE WHEN NOT isnan(r) THEN r END) OVER (PARTITION BY {k} ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS c FROM z)"""
+_TYPES = f"SELECT t.event_type, g.ts, b.v FROM (SELECT DISTINCT event_type FROM bytype) t CROSS JOIN (SELECT unnest(generate_series({START}, {LAST}, {STEP})) AS ts) g LEFT JOIN bytype b USING (event_type, ts)"
 
 #: name -> (query, label columns, SQL, options of the result)
 _CASES: dict[str, tuple] = {
@@ -144,13 +145,15 @@ _CASES: dict[str, tuple] = {
     "m3_keep_last_value": ("fetch name:events | keepLastValue 1d", TAGS, _sql(f"x AS (SELECT *, last_value(v IGNORE NULLS) OVER ({_S} ORDER BY ts) AS l, last_value(CASE WHEN v IS NOT NULL THEN ts END IGNORE NULLS) OVER ({_S} ORDER BY ts) AS lt FROM dense) SELECT event_type, user_id, ts, round(l, 6) AS value FROM x WHERE ts - lt <= 86400000"), {}),
     "m3_derivative": ("fetch name:events | derivative", TAGS, _sql(f"x AS (SELECT *, v - lag(v) OVER ({_S} ORDER BY ts) AS d, ts - lag(ts) OVER ({_S} ORDER BY ts) AS g FROM pts) SELECT event_type, user_id, ts, round(d, 6) AS value FROM x WHERE g = {STEP}"), {}),
     "m3_per_second": ("fetch name:events | perSecond", TAGS, _sql(f"x AS (SELECT *, v - lag(v) OVER ({_S} ORDER BY ts) AS d, ts - lag(ts) OVER ({_S} ORDER BY ts) AS g FROM pts) SELECT event_type, user_id, ts, round(d / (g / 1000.0), 9) AS value FROM x WHERE d >= 0"), {"digits": 9}),
-    "m3_per_second_rate": ("fetch name:events | sum event_type | perSecondRate 12h", ["event_type"], _sql(_RATE.format(s=START, l=LAST, st=STEP, ms=12 * HOUR, n=2)), {"digits": 9}),
+    "m3_per_second_rate": ("fetch name:events | sum event_type | perSecondRate 12h", ["event_type"], _sql(_RATE.format(k="event_type", source=_TYPES, ms=12 * HOUR, n=2) + " SELECT event_type, ts, round(m, 9) AS value FROM w WHERE c = 2"), {"digits": 9}),
     "m3_integral": ("fetch name:events | integral", TAGS, _sql(f"SELECT event_type, user_id, ts, round(sum(v) OVER ({_S} ORDER BY ts), 6) AS value FROM pts"), {}),
     "m3_integral_reset": ("fetch name:events | integral true", TAGS, _sql(f"{_ROLL} SELECT event_type, user_id, ts, round(sum(v) OVER (PARTITION BY event_type, user_id, part ORDER BY ts), 6) AS value FROM x"), {}),
     "m3_changed": ("fetch name:events | changed", TAGS, _sql(f"x AS (SELECT *, last_value(v IGNORE NULLS) OVER ({_S} ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM dense) SELECT event_type, user_id, ts, CASE WHEN v IS NOT NULL AND l IS NOT NULL AND v <> l THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM x"), {}),
     **{f"m3_summarize_{fn}": (f"fetch name:events | summarize 2d {fn}", TAGS, _sql(f"SELECT event_type, user_id, -62135596800000 + (ts + 62135596800000) // 172800000 * 172800000 AS ts, round({sql}, 6) AS value FROM pts GROUP BY ALL"), {}) for fn, sql in (("sum", "sum(v)"), ("avg", "avg(v)"), ("max", "max(v)"), ("min", "min(v)"), ("last", "arg_max(v, pts.ts)"), ("stddev", "COALESCE(stddev_samp(v), 0)"), ("p75", "list_sort(list(v))[greatest(ceil(0.75 * count(*))::INT, 1)]"))},
     "m3_summarize_from_start": ("fetch name:events | summarize 18h avg true", TAGS, _sql(f"SELECT event_type, user_id, {START} + (ts - {START}) // 64800000 * 64800000 AS ts, round(avg(v), 6) AS value FROM pts GROUP BY ALL"), {}),
     **{f"m3_sort_{by}": (f"fetch name:events | {'round | ' if by == 'sum' else ''}sort {by} {'desc' if down else 'asc'}", TAGS, _sorted(key, down, value="floor(v + 0.5)" if by == "sum" else "round(v, 6)"), {"rank": True}) for by, key, down in (("avg", "avg(v)", True), ("current", "arg_max(v, ts)", True), ("max", "max(v)", False), ("min", "min(v)", True), ("sum", "sum(floor(v + 0.5))", False))},
+    "m3_sort_stddev": ("fetch name:events event_type:click | sort stddev desc", TAGS, None, {"rank": True}),
+    "m3_sort_name": ("fetch name:events | aliasByTags user_id event_type | sort name asc", TAGS, _sorted("user_id || ' ' || event_type", False), {"rank": True}),
     "m3_top_k": ("fetch name:events | topK 7 max", TAGS, _sorted("max(v)", True, "ord <= 7"), {"rank": True}),
     "m3_head": ("fetch name:events | round | sort sum desc | head 4", TAGS, _sorted("sum(floor(v + 0.5))", True, "ord <= 4", "floor(v + 0.5)"), {"rank": True}),
     "m3_tail": ("fetch name:events | round | sort sum desc | tail 4", TAGS, _sql("x AS (SELECT event_type, user_id, row_number() OVER (ORDER BY sum(floor(v + 0.5)) ASC, 'vevents' || chr(1) || 'vgauge' || chr(1) || 'v' || event_type || chr(1) || 'v' || user_id DESC) AS ord FROM pts GROUP BY event_type, user_id) SELECT event_type, user_id, (5 - ord)::INT AS ord, ts, floor(v + 0.5) AS value FROM x JOIN pts USING (event_type, user_id) WHERE ord <= 4"), {"rank": True}),
@@ -160,10 +163,7 @@ _CASES: dict[str, tuple] = {
     "m3_tag_sub": ('fetch name:events | tagSub event_type "^(.)(.*)$" "\\1-$2"', TAGS, _sql("SELECT event_type[1] || '-' || event_type[2:] AS event_type, user_id, ts, round(v, 6) AS value FROM pts"), {}),
     "m3_map_key": ("fetch name:events | mapKey user_id account", ["event_type", "account"], _sql("SELECT event_type, user_id AS account, ts, round(v, 6) AS value FROM pts"), {}),
     "m3_mock_fetch": ("mockFetch 1,2,nan,4 name:mock env:test | scale 2", ["name", "env"], f"SELECT 'mock' AS name, 'test' AS env, {START} + i * {STEP} AS ts, v AS value FROM (VALUES (0, 2.0::DOUBLE), (1, 4.0), (3, 8.0)) x(i, v)", {}),
-    "m3_histogram_percentile": ('fetch name:events | mapKey user_id bucketid | tagSub event_type "^(.).*$" "$1" | mapKey event_type group | head 1 | sum group | fetch name:nothing', ["group"], None, {}),
 }
-_CASES.pop("m3_histogram_percentile")
-
 
 def m3_histogram_percentile(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles over buckets: order counts by price band, the bands being series."""
@@ -202,8 +202,22 @@ def labelled(f: SeriesFrame) -> DataFrame:
 CASE_NAMES = "temp_by_site flow_gaps humidity_p95 voltage_dips fan_range queue_change pressure_shift gate_load latency_p50_p99 errors_share pods_live not_get units_7d records_30d export_daily both_usage".split()
 
 
-def _prom(query: str, tags: list[str]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: flat(events_engine(spark, d).run(promql.plan(query)), tags)
+def _case_sql(name: str, matched: str, body: str, shift: int = 0) -> str:
+    """WITH usable samples, c (the stored case) and pts (series_ref, labels, ts, v) of the matching series, then body, whose columns are labels, ts and value."""
+    return f"""WITH {USABLE}, c AS (SELECT * FROM query_cases WHERE query_name = '{name}'),
+    cells AS (SELECT u.series_ref, c.min_ts + (u.sample_ts + {shift} - c.min_ts) // c.step_ms * c.step_ms AS ts, arg_max(u.value, (u.sample_ts, -u.row_id)) AS v
+        FROM usable u JOIN series_catalog s USING (series_ref), c WHERE s.index_name = c.index_name AND u.sample_ts + {shift} >= c.min_ts AND u.sample_ts + {shift} < c.max_ts GROUP BY ALL),
+    pts AS (SELECT series_ref, s.labels, ts, v FROM cells JOIN series_catalog s USING (series_ref) WHERE {matched}),
+    one AS (SELECT *, array_to_string(list_transform(list_sort(map_entries(labels)), lambda x: x.key || ':' || x.value), ',') AS text FROM pts)
+    {body}"""
+
+
+def _by(label: str, value: str = "sum(v)", source: str = "pts") -> str:
+    return f"SELECT '{label}:' || labels['{label}'] AS labels, NULL::VARCHAR AS alias, ts, round({value}, 6) AS value FROM {source} WHERE NOT isnan(v) AND labels['{label}'] IS NOT NULL GROUP BY labels['{label}'], ts"
+
+
+def _prom(query: str, tags: list[str], **kw) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: flat(events_engine(spark, d).run(promql.plan(query)), tags, **kw)
 
 
 def label_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -238,7 +252,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prom_sum_by": _prom("sum by (event_type) (events)", ["event_type"]),
     "prom_count_by": _prom('count(events{event_type!~"v.*"}) by (event_type)', ["event_type"]),
     "prom_avg_nested": _prom("avg(sum by (event_type) (events))", []),
-    "prom_rate": _prom("sum(rate(events[12h])) by (event_type)", ["event_type"]),
+    "prom_rate": _prom("sum(rate(events[12h])) by (event_type)", ["event_type"], digits=9),
+    "prom_increase": _prom("max by (event_type) (increase(events[1d]))", ["event_type"], digits=15),
     "label_stats": label_stats,
     "label_sets": label_sets,
     "matrix_json": matrix_json,
@@ -246,7 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
-    **{name: c[2] for name, c in _CASES.items()},
+    **{name: c[2] for name, c in _CASES.items() if c[2]},
     "m3_histogram_percentile": f"""WITH c AS (SELECT o_orderpriority AS orderpriority, epoch_ms(date_trunc('month', o_orderdate)) AS t, floor(o_totalprice / 50000)::INT AS b, count(*) AS n FROM orders GROUP BY ALL),
         g AS (SELECT *, sum(n) OVER (PARTITION BY orderpriority, t) AS total, sum(n) OVER (PARTITION BY orderpriority, t ORDER BY b) AS cum FROM c),
         p AS (SELECT unnest([50, 95]) AS p) SELECT orderpriority, 'p' || p AS "histogramPercentile", {_ORDERS_START} + (t - {_ORDERS_START}) // 86400000 * 86400000 AS ts, min((b + 1) * 50000)::DOUBLE AS value FROM g, p WHERE cum >= total * p / 100.0 GROUP BY ALL""",
@@ -254,6 +269,14 @@ SQL: dict[str, str] = {
     "prom_sum_by": _group("sum(v)"),
     "prom_count_by": _sql("x AS (SELECT event_type, count(*) AS n FROM ser WHERE event_type NOT LIKE 'v%' GROUP BY event_type) SELECT event_type, ts, n::DOUBLE AS value FROM x, (SELECT DISTINCT ts FROM grid)"),
     "prom_avg_nested": _sql("SELECT ts, round(avg(v), 6) AS value FROM bytype GROUP BY ts"),
+    "prom_rate": _sql(_RATE.format(k="event_type, user_id", source="SELECT * FROM dense", ms=12 * HOUR, n=2) + " SELECT event_type, ts, round(sum(m), 9) AS value FROM w WHERE c = 2 GROUP BY ALL"),
+    "prom_increase": _sql(_RATE.format(k="event_type, user_id", source="SELECT * FROM dense", ms=24 * HOUR, n=4) + " SELECT event_type, ts, round(max(m) / 1000, 15) AS value FROM w WHERE c = 4 GROUP BY ALL"),
+    "case_voltage_dips": _case_sql("voltage_dips", "labels['name'] = 'bus_voltage_v'", "SELECT text AS labels, NULL::VARCHAR AS alias, ts, round(v, 6) AS value FROM one WHERE v <= 46 AND NOT isnan(v)"),
+    "case_pressure_shift": _case_sql("pressure_shift", "labels['name'] = 'ambient_pressure_hpa'", "SELECT text AS labels, NULL::VARCHAR AS alias, ts, round(CASE WHEN NOT isnan(v) THEN v END, 6) AS value FROM one", shift=86_400_000),
+    "case_not_get": _case_sql("not_get", "labels['name'] = 'response_size_bytes' AND COALESCE(labels['method'] <> 'GET', true)", _by("service")),
+    "case_export_daily": _case_sql("export_daily", "labels['name'] = 'export_rows'", "SELECT labels, alias, -62135596800000 + (ts + 62135596800000) // 86400000 * 86400000 AS ts, round(sum(value), 6) AS value FROM (" + _by("tenant") + ") GROUP BY ALL"),
+    "case_both_usage": _case_sql("both_usage", "labels['name'] IN ('export_rows', 'batch_records')", """, t AS (SELECT labels['tenant'] AS tenant, ts, sum(v) FILTER (labels['name'] = 'export_rows') AS l, sum(v) FILTER (labels['name'] = 'batch_records') AS r FROM pts WHERE NOT isnan(v) AND labels['tenant'] IS NOT NULL GROUP BY ALL)
+        SELECT 'tenant:' || tenant || ',type:ratios' AS labels, NULL::VARCHAR AS alias, ts, round(CASE WHEN r <> 0 THEN l / r END, 6) AS value FROM t WHERE l IS NOT NULL AND r IS NOT NULL"""),
     "label_stats": _sql("SELECT 'event_type' AS label, event_type AS value, count(*) AS series FROM ser GROUP BY event_type UNION ALL SELECT 'user_id', user_id, count(*) FROM ser GROUP BY user_id UNION ALL SELECT 'name', 'events', count(*) FROM ser UNION ALL SELECT 'type', 'gauge', count(*) FROM ser UNION ALL SELECT '', '', count(*) FROM ser"),
     "label_sets": _sql("SELECT event_type, user_id FROM ser WHERE event_type IN ('click', 'login')"),
     "federated_max": _sql("""y AS (SELECT event_type, user_id, event_id % 2 AS part, """ + f"{START} + (t - {START}) // {STEP} * {STEP} AS ts, arg_max(value, (t, event_id)) AS v FROM ev GROUP BY ALL), z AS (SELECT event_type, user_id, ts, arg_max(v, part) AS v FROM y GROUP BY ALL) SELECT event_type, ts, round(max(v), 6) AS value FROM z GROUP BY ALL").replace("total AS (SELECT ts, sum(v) AS v FROM pts GROUP BY ALL) y AS", "total AS (SELECT ts, sum(v) AS v FROM pts GROUP BY ALL), y AS"),
