@@ -30,14 +30,21 @@ def _keyed(left: SeriesFrame, right: SeriesFrame, tags: list[str], unique: bool)
     """meta sid -> key of both sides. A right side of one series, or of one group, matches every left series."""
     if right.single:
         return left.meta.select("sid", F.lit("g").alias("key")), right.meta.select("sid", F.lit("g").alias("key"))
+    tags = list(dict.fromkeys(tags))
     rm = right.alive().meta
-    if len(rm.select("sid").limit(2).collect()) < 2:
-        return left.meta.select("sid", F.lit("g").alias("key")), rm.select("sid", F.lit("g").alias("key"))
-    tags = list(dict.fromkeys(tags)) or _common(left, right)
-    rk = rm.select("sid", label_key(tags).alias("key")).where("key is not null")
-    if unique and rk.groupBy("key").count().where("count > 1").limit(1).collect():
+    if not tags:
+        if len(rm.select("sid").limit(2).collect()) < 2:
+            return left.meta.select("sid", F.lit("g").alias("key")), rm.select("sid", F.lit("g").alias("key"))
+        tags = _common(left, right)
+    rk = rm.select("sid", label_key(tags).alias("key"))
+    # One row on how the right side falls into groups decides the form of the join.
+    sizes = rk.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("series"), F.count("key").alias("groups"), F.max(F.when(F.col("key").isNotNull(), F.col("n"))).alias("most")).head()
+    if sizes["series"] < 2:
+        return left.meta.select("sid", F.lit("g").alias("key")), rk.select("sid", F.lit("g").alias("key"))
+    if unique and (sizes["most"] or 0) > 1:
         raise ValueError("several right series match one left series; name labels that tell them apart")
-    if len(rk.select("key").distinct().limit(2).collect()) < 2:
+    rk = rk.where("key is not null")
+    if sizes["groups"] < 2:
         return left.meta.select("sid", F.lit("g").alias("key")), rk.select("sid", F.lit("g").alias("key"))
     return left.meta.select("sid", label_key(tags).alias("key")).where("key is not null"), rk
 
