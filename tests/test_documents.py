@@ -151,6 +151,16 @@ def test_off_phases_trends_and_quiet_sources_are_no_cases():
     assert not kinds(ts[:60], np.full(60, np.nan)).any()
 
 
+def test_a_frozen_stretch_of_rounded_values():
+    ts, v = waves(700, 7)
+    v = np.round(v * 6)
+    v[200:218] = v[200] + (np.arange(18) % 3 == 1)
+    v[199], v[218] = v[200] - 4, v[200] + 5  # neighbours that could not belong to it
+    want = np.zeros(700, int)
+    want[200:218] = spikes.FROZEN
+    assert (kinds(ts, v) == want).all()
+
+
 def test_a_spike_soon_after_a_lasting_change():
     ts, v = waves(600, 6)
     v[300:] += 25

@@ -17,6 +17,8 @@ PERIOD_READINGS = 20_000
 TREES, PSI, CANDIDATE = 32, 128, 0.5
 #: Exact check: longest spike and shortest frozen stretch in readings; distance from the level, in units of the usual noise, of a spike; part of the usual noise within which a stretch counts as frozen.
 SPIKE_MAX, FROZEN_MIN, FAR, STILL = 9, 10, 9.0, 0.3
+#: A wider part, as rounding of a small noise needs it, for stretches of some more readings: by chance, ten readings keep within it too often.
+STILL_WIDE, FROZEN_WIDE = 0.42, 12
 DAY_MS = 86_400_000
 #: Kinds of case by their code in the Python workers, whose results stay numeric; 0 is none.
 KINDS = ("limit", "spike", "frozen")
@@ -44,15 +46,15 @@ def _noise(y: np.ndarray) -> float:
     return float(1.4826 * np.median(d) / np.sqrt(2)) if len(d) else 0.0
 
 
-def _still(y: np.ndarray, width: float) -> list[tuple[int, int]]:
-    """Stretches of at least FROZEN_MIN values that stay within width, with their ends cut back to what the inside of the stretch looks like."""
-    if len(y) < FROZEN_MIN:
+def _still(y: np.ndarray, width: float, least: int) -> list[tuple[int, int]]:
+    """Stretches of at least `least` values that stay within width, with their ends cut back to what the inside of the stretch looks like."""
+    if len(y) < least:
         return []
-    w = sliding_window_view(y, FROZEN_MIN)
+    w = sliding_window_view(y, least)
     calm = (w.max(axis=1) - w.min(axis=1)) <= width
     out = []
     for a, b in _runs(calm):
-        b = b + FROZEN_MIN - 1
+        b = b + least - 1
         inside = y[a + 2 : b - 2]
         low, high = np.quantile(inside, [0.05, 0.95])
         pad = 0.5 * (high - low)
@@ -61,7 +63,7 @@ def _still(y: np.ndarray, width: float) -> list[tuple[int, int]]:
         if not runs:
             continue
         s, e = max(runs, key=lambda r: r[1] - r[0])
-        if e - s >= FROZEN_MIN:
+        if e - s >= least:
             out.append((a + s, a + e))
     return out
 
@@ -104,7 +106,11 @@ def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int
         varies = False
     else:
         varies = True
-    still = [r for r in _still(y, STILL * noise) if not off[r[0] : r[1]].all()] if varies else []
+    still = _still(y, STILL * noise, FROZEN_MIN) if varies else []
+    for a, b in _still(y, STILL_WIDE * noise, FROZEN_WIDE) if varies else []:
+        if not any(a < e and s < b for s, e in still):
+            still.append((a, b))
+    still = sorted(r for r in still if not off[r[0] : r[1]].all())
     calm = np.zeros(len(y), dtype=int)
     for s, e in still:
         calm[s:e] = e - s
