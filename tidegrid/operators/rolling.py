@@ -36,16 +36,17 @@ def rolling_totals(samples: DataFrame, key: str, windows: tuple[int, ...] = (7,
     down = Window.partitionBy("k", "w", "b").orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, 0)
     sums = dense.withColumns({f"{c}_{side}": F.sum(c).over(w) for c in ("n", "s", "a") for side, w in (("pre", up), ("suf", down))})
     # A prefix belongs to the window that ends with its day; a suffix to the one that starts with it, if that does not fill its own block, which the prefix then covers.
-    pre = F.struct(F.col("d").alias("d"), *[F.col(f"{c}_pre").alias(c) for c in ("n", "s", "a")], F.lit(True).alias("end"))
-    suf = F.struct((F.col("d") + F.col("w") - 1).alias("d"), *[F.col(f"{c}_suf").alias(c) for c in ("n", "s", "a")], F.lit(False).alias("end"))
-    split = F.pmod(F.col("d"), F.col("w")) != 0
-    parts = sums.select("k", "w", "first", "last", F.explode(F.when(split, F.array(pre, suf)).otherwise(F.array(pre))).alias("p")).select("k", "w", "first", "last", "p.*")
-    # Where a window starts before the key's first day, its suffix would start in the idle past; the first block's own prefix or the suffix from the first day on stands in for it.
-    head = sums.where((F.col("d") == F.col("first")) & split).select("k", "w", "first", "last", "b", "d", *[F.col(f"{c}_suf").alias(c) for c in ("n", "s", "a")])
-    until = F.least(F.col("d") + F.col("w") - 2, F.col("last"))
-    start = (F.col("b") + 1) * F.col("w")
-    head = head.where(start <= until).select("k", "w", "first", "last", F.explode(F.sequence(start.cast("int"), until.cast("int"))).alias("d"), "n", "s", "a", F.lit(False).alias("end"))
-    total = parts.unionByName(head).groupBy("k", "w", "d", "first", "last").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("a").alias("a"), F.max("end").alias("end"))
+    def part(at, side: str, end: bool):
+        return F.struct(at.cast("int").alias("d"), *[F.col(f"{c}_{side}").alias(c) for c in ("n", "s", "a")], F.lit(end).alias("end"))
+
+    d, w = F.col("d"), F.col("w")
+    split = F.pmod(d, w) != 0
+    none = F.array().cast("array<struct<d: int, n: bigint, s: double, a: bigint, end: boolean>>")
+    # Where a window starts before the key's first day, its suffix would start in the idle past; the suffix from the first day on stands in for it, for windows that end in the next block.
+    start, until = ((F.col("b") + 1) * w).cast("int"), F.least(d + w - 2, F.col("last")).cast("int")
+    head = F.transform(F.sequence(start, F.greatest(start, until)), lambda at: part(at, "suf", False))
+    parts = F.concat(F.array(part(d, "pre", True)), F.when(split, F.array(part(d + w - 1, "suf", False))).otherwise(none), F.when(split & (d == F.col("first")) & (start <= until), head).otherwise(none))
+    total = sums.select("k", "w", F.explode(parts).alias("p")).groupBy("k", "w", "p.d").agg(F.sum("p.n").alias("n"), F.sum("p.s").alias("s"), F.sum("p.a").alias("a"), F.max("p.end").alias("end"))
     return total.where("end").select(
         F.col("k").alias(key),
         F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("d")), "yyyy-MM-dd").alias("day_utc"),
