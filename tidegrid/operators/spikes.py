@@ -204,7 +204,9 @@ def judged_readings(samples: DataFrame) -> DataFrame:
     near = F.when(F.col("cut") & (inside < F.col("margin")) & (k > 0), k - 1).when(F.col("cut") & (inside >= F.col("period") - F.col("margin")), k + 1)
     rows = rows.withColumn("k", k).withColumn("p", F.explode(F.array_compact(F.array(k, near))))
     rows = rows.select("series_ref", "p", "sample_ts", "value", "low", "high", (F.col("p") == F.col("k")).alias("own"))
-    found = rows.groupBy("series_ref", "p").applyInPandas(_judge_group, "series_ref long, sample_ts long, value double, score double, code byte")
+    # By bytes alone the readings would be put into few tasks, but judging them takes long.
+    tasks = max(once.sparkSession.sparkContext.defaultParallelism, -(-once.count() // (2 * PERIOD_READINGS)))
+    found = rows.repartition(tasks, "series_ref", "p").groupBy("series_ref", "p").applyInPandas(_judge_group, "series_ref long, sample_ts long, value double, score double, code byte")
     kind = F.when(F.col("code") > 0, F.element_at(F.array(*map(F.lit, KINDS)), F.col("code").cast("int")))
     return found.select("series_ref", "sample_ts", "value", "score", kind.alias("kind"))
 
