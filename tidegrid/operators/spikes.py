@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.iforest import IsolationForest
-from tidegrid.session import checkpointed
+from tidegrid.session import checkpointed, small_side
 
 #: Readings of one source that are judged together at most, about: a source with more is cut into equal periods with a margin on both sides.
 PERIOD_READINGS = 20_000
@@ -198,7 +198,7 @@ def judged_readings(samples: DataFrame) -> DataFrame:
     size = once.groupBy("series_ref").agg(F.count(F.lit(1)).alias("n"), F.min("sample_ts").alias("t0"), F.max("sample_ts").alias("t1"))
     period = F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / F.lit(float(PERIOD_READINGS)))).cast("long")
     size = size.select("series_ref", "t0", period.alias("period"), F.ceil(period / 16.0).cast("long").alias("margin"), (F.col("n") > PERIOD_READINGS).alias("cut"))
-    rows = once.join(size, "series_ref")
+    rows = once.join(small_side(size), "series_ref")
     k = F.floor((F.col("sample_ts") - F.col("t0")) / F.col("period"))
     inside = F.pmod(F.col("sample_ts") - F.col("t0"), F.col("period"))
     near = F.when(F.col("cut") & (inside < F.col("margin")) & (k > 0), k - 1).when(F.col("cut") & (inside >= F.col("period") - F.col("margin")), k + 1)
