@@ -187,3 +187,29 @@ def test_small_side_counts_first(spark):
     df = spark.range(10)
     assert "hint" in session.small_side(df, 10)._jdf.queryExecution().logical().toString().lower()
     assert "hint" not in session.small_side(df, 9)._jdf.queryExecution().logical().toString().lower()
+
+
+def judged(spark, ts, v):
+    df = spark.createDataFrame([(1, int(t), float(x), i, None, None) for i, (t, x) in enumerate(zip(ts, v))], "series_ref long, sample_ts long, value double, row_id long, low_limit double, high_limit double")
+    return np.array([r["kind"] or "" for r in sorted(spikes.judged_readings(df).collect(), key=lambda r: r["sample_ts"])])
+
+
+def test_a_sensor_stuck_for_longer_than_a_period(spark, monkeypatch):
+    monkeypatch.setattr(spikes, "PERIOD_READINGS", 300)
+    ts, v = waves(2000, 8)
+    v[500:1500] = v[500]
+    v[1700:1720] = v[1700]
+    want = np.full(2000, "", dtype=object)
+    want[500:1500] = want[1700:1720] = "frozen"
+    assert (judged(spark, ts, v) == want).all()
+
+
+def test_off_phases_rarer_than_three_a_period(spark, monkeypatch):
+    monkeypatch.setattr(spikes, "PERIOD_READINGS", 300)
+    ts, v = waves(2000, 9)
+    v[np.arange(2000) % 200 < 30] = 0.0
+    assert not (judged(spark, ts, v) != "").any()
+    v[1000:1100] = 0.0  # far longer than a phase, over a border of periods
+    want = np.full(2000, "", dtype=object)
+    want[1000:1100] = "frozen"
+    assert (judged(spark, ts, v) == want).all()

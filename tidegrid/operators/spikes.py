@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+from dataclasses import dataclass, replace
+
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
@@ -40,10 +43,112 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)))
 
 
-def _noise(y: np.ndarray) -> float:
-    """Usual noise from the differences of neighbours that do differ; 0 if most don't."""
-    d = np.abs(np.diff(y))
-    return float(1.4826 * np.median(d) / np.sqrt(2)) if len(d) else 0.0
+def _counted(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often each comes."""
+    return np.unique(d, return_counts=True)
+
+
+def _merged(counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One list of distinct values and counts from several."""
+    value, at = np.unique(np.concatenate([v for v, _ in counted]), return_inverse=True)
+    return value, np.bincount(at, np.concatenate([c for _, c in counted]), len(value)).astype(np.int64)
+
+
+def _middle(counted: tuple[np.ndarray, np.ndarray]) -> float:
+    """Median of values with counts; 0 for none."""
+    value, count = counted
+    n = int(count.sum())
+    if n == 0:
+        return 0.0
+    upto = np.cumsum(count)
+    return float((value[np.searchsorted(upto, (n - 1) // 2, "right")] + value[np.searchsorted(upto, n // 2, "right")]) / 2)
+
+
+def _noise(counted: tuple[np.ndarray, np.ndarray]) -> float:
+    """Usual noise from the differences of neighbours; 0 if most don't differ."""
+    return 1.4826 * _middle(counted) / np.sqrt(2)
+
+
+def _plausible(value: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of the readings beyond the limits, and positions of the others that are numbers."""
+    with np.errstate(invalid="ignore"):
+        out = np.isinf(value) | (value < low) | (value > high)
+    return out, np.flatnonzero(~np.isnan(value) & ~out)
+
+
+def _equal_runs(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]])) if len(y) else np.zeros(0, dtype=int)
+    return starts, np.diff(np.concatenate([starts, [len(y)]])).astype(int)
+
+
+@dataclass
+class Part:
+    """What a period tells about its source. runs: (start time, end time, readings, value) of its first and last run of equal values, the same one if there is no other. zero: (start time, end time, readings) of the runs of 0 between these. changes: differences of lively neighbours, those of runs of 0 left out, and with them."""
+
+    runs: list[tuple[int, int, int, float]]
+    zero: np.ndarray
+    changes: tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+@dataclass
+class Facts:
+    """What holds for a source as a whole. noise: usual noise; plenty: number of differences it comes from. phases: start and end time of the off phases, usual: their usual readings. long: start time, end time and readings of the runs of equal values that cross a border of periods."""
+
+    noise: float
+    plenty: int
+    phases: np.ndarray
+    usual: float
+    long: np.ndarray
+
+
+def _part(ts: np.ndarray, value: np.ndarray, low: float, high: float, coarse: bool = False) -> Part:
+    """The facts of one period in order of time, without the margins; coarse: differences are rounded to 12 bits, which bounds how many are distinct."""
+    _, at = _plausible(value, low, high)
+    t, y = ts[at], value[at]
+    starts, length = _equal_runs(y)
+    run = np.repeat(length, length)
+    lively = run < FROZEN_MIN
+    changes = []
+    for flags in (lively & ~((y == 0.0) & (run >= 3)), lively):
+        d = np.abs(np.diff(y[flags]))
+        if coarse:
+            mantissa, exponent = np.frexp(d)
+            d = np.ldexp(np.round(mantissa * 4096) / 4096, exponent)
+        changes.append(_counted(d))
+    ends = starts + length - 1
+    runs = [(int(t[starts[i]]), int(t[ends[i]]), int(length[i]), float(y[starts[i]])) for i in ((0, -1) if len(starts) else ())]
+    inner = np.arange(1, len(starts) - 1)
+    inner = inner[(y[starts[inner]] == 0.0) & (length[inner] >= 3)]
+    return Part(runs, np.column_stack([t[starts[inner]], t[ends[inner]], length[inner]]).astype(np.int64).reshape(-1, 3), tuple(changes))
+
+
+def _facts(parts: list[Part]) -> Facts:
+    """Facts of a source from those of its periods in order of time: runs are joined over the borders before they are looked at."""
+    runs, long, zero = [], [], [np.zeros((0, 3), dtype=np.int64)]
+    for p in parts:
+        zero.append(p.zero)
+        for i, r in enumerate(p.runs if len(p.runs) < 2 or p.runs[0] != p.runs[1] else p.runs[:1]):
+            if i == 0 and runs and runs[-1][3] == r[3]:
+                first = runs.pop()
+                if long and long[-1][0] == first[0]:
+                    long.pop()
+                r = (first[0], r[1], first[2] + r[2], r[3])
+                long.append(r[:3])
+            runs.append(r)
+    zero.append(np.array([r[:3] for r in runs if r[3] == 0.0 and r[2] >= 3], dtype=np.int64).reshape(-1, 3))
+    zero = np.concatenate(zero)
+    phases, usual = _phases(zero[np.argsort(zero[:, 0], kind="stable")])
+    changes = _merged([p.changes[0 if len(phases) else 1] for p in parts])
+    return Facts(_noise(changes), int(changes[1].sum()), phases, usual, np.array(long, dtype=np.int64).reshape(-1, 3))
+
+
+def _phases(zero: np.ndarray) -> tuple[np.ndarray, float]:
+    """(start, end) of off phases among a source's runs of three or more zeros, and their usual readings: off phases come back, and a stretch of 0 that is far longer than they are is not one of them."""
+    if len(zero) < 3:
+        return zero[:0, :2], 0.0
+    usual = float(np.median(zero[:, 2]))
+    return zero[zero[:, 2] <= max(2 * usual, usual + 5), :2], usual
 
 
 def _still(y: np.ndarray, width: float, least: int) -> list[tuple[int, int]]:
@@ -68,44 +173,38 @@ def _still(y: np.ndarray, width: float, least: int) -> list[tuple[int, int]]:
     return out
 
 
-def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int = 0) -> pd.DataFrame:
-    """score, kind of each reading of one source in order of time, kind being LIMIT, SPIKE, FROZEN or 0.
+def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int = 0, facts: Facts | None = None) -> pd.DataFrame:
+    """score, kind of each reading of one source, or of a period of one whose facts are given, in order of time, kind being LIMIT, SPIKE, FROZEN or 0.
 
-    A reading outside [low, high] (a NaN limit is none) or infinite is LIMIT, by rule. NaN is never a case and takes no part. The rest get four features - distance from the rolling level, difference to the nearer neighbour, distance from the usual value at this time of day, length of the still stretch it lies in - and a score by a forest fitted on the source's own readings, where a still stretch or an off phase counts once, else a long one would make itself look normal. Readings that score CANDIDATE or more go to an exact check: a spike must leave and come back to the same level within SPIKE_MAX readings, a frozen stretch must last FROZEN_MIN readings, and values of 0 that come back regularly are off phases and not cases.
+    A reading outside [low, high] (a NaN limit is none) or infinite is LIMIT, by rule. NaN is never a case and takes no part. The rest get four features - distance from the rolling level, difference to the nearer neighbour, distance from the usual value at this time of day, length of the still stretch it lies in - and a score by a forest fitted on the source's own readings, where a still stretch or an off phase counts once, else a long one would make itself look normal. Readings that score CANDIDATE or more go to an exact check: a spike must leave and come back to the same level within SPIKE_MAX readings, a frozen stretch must last FROZEN_MIN readings, and values of 0 that come back regularly are off phases and not cases. Noise, off phases and runs of equal values are those of the whole source. A period that is noisier than its source is judged by its own noise. Where a period holds too few lively readings to fit a forest, though its source has them, the exact check alone decides on still stretches.
     """
+    facts = facts or _facts([_part(ts, value, low, high)])
     n = len(value)
     score, kind = np.zeros(n), np.zeros(n, dtype=np.int8)
-    with np.errstate(invalid="ignore"):
-        out = np.isinf(value) | (value < low) | (value > high)
+    out, at = _plausible(value, low, high)
     kind[out] = LIMIT
     score[out] = 1.0
-    at = np.flatnonzero(~np.isnan(value) & ~out)
-    y = value[at]
+    t, y = ts[at], value[at]
     if len(y) < FROZEN_MIN:
         return pd.DataFrame({"score": score, "kind": kind})
-    change = np.concatenate([[True], y[1:] != y[:-1]])
-    starts = np.flatnonzero(change)
-    length = np.diff(np.concatenate([starts, [len(y)]]))
-    zero = [(s, s + k) for s, k in zip(starts, length) if y[s] == 0.0 and k >= 3]
-    off = np.zeros(len(y), dtype=bool)
-    if len(zero) >= 3:  # off phases come back; a stretch of 0 that is far longer than they are is not one of them
-        usual = float(np.median([e - s for s, e in zero]))
-        for s, e in zero:
-            if e - s <= max(2 * usual, usual + 5):
-                off[s:e] = True
-        # the remains of a phase that lost readings
+    starts, length = _equal_runs(y)
+    off = _within(t, facts.phases) & (y == 0.0)
+    if len(facts.phases):  # the remains of a phase that lost readings
         for s, k in zip(starts, length):
-            if y[s] == 0.0 and k < 3 and usual >= 4 and (off[max(0, s - 2) : s].any() or off[s + k : s + k + 2].any() or s == 0 or s + k == len(y)):
+            if y[s] == 0.0 and k < 3 and facts.usual >= 4 and (off[max(0, s - 2) : s].any() or off[s + k : s + k + 2].any() or s == 0 or s + k == len(y)):
                 off[s : s + k] = True
     run = np.repeat(length, length)
+    for s, e, k in facts.long:
+        run[(t >= s) & (t <= e)] = k
     lively = (run < FROZEN_MIN) & ~off
-    noise = _noise(y[lively])
-    if noise == 0.0:  # the source usually repeats its value
-        d = np.abs(np.diff(y[lively]))
-        noise = float(np.median(d[d > 0])) if (d > 0).any() else 0.0
-        varies = False
-    else:
-        varies = True
+    d = np.abs(np.diff(y[lively]))
+    own_noise = _noise(_counted(d)) if len(d) >= PSI else 0.0
+    noise = max(facts.noise, own_noise)
+    varies = noise > 0.0
+    # a period that is all still has no noise of its own
+    unit = own_noise if own_noise > STILL_WIDE * facts.noise else facts.noise
+    if not varies:  # the source usually repeats its value
+        unit = float(np.median(d[d > 0])) if (d > 0).any() else 0.0
     still = _still(y, STILL * noise, FROZEN_MIN) if varies else []
     for a, b in _still(y, STILL_WIDE * noise, FROZEN_WIDE) if varies else []:
         if not any(a < e and s < b for s, e in still):
@@ -115,7 +214,7 @@ def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int
     for s, e in still:
         calm[s:e] = e - s
     rest = np.flatnonzero((calm == 0) & ~off)
-    unit = noise or 1.0
+    far, unit = FAR * unit, unit or 1.0
     level = np.zeros(len(y))
     step = np.zeros(len(y))
     if len(rest):
@@ -135,17 +234,27 @@ def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int
         once[s + 1 : e] = False
     forest = IsolationForest(features[once], TREES, PSI, seed)
     own = forest.score(features)
+    if once.sum() < PSI <= facts.plenty:
+        own[calm > 0] = np.maximum(own[calm > 0], CANDIDATE)
     score[at] = own
     candidate = own >= CANDIDATE
     for s, e in still:
         if candidate[s:e].mean() >= 0.5:
             kind[at[s:e]] = FROZEN
-    if len(rest) and noise > 0:
-        for k in _spikes(y[rest], candidate[rest], FAR * noise):
+    if len(rest) and far > 0:
+        for k in _spikes(y[rest], candidate[rest], far):
             kind[at[rest[k]]] = SPIKE
     return pd.DataFrame({"score": score, "kind": kind})
 
 
+def _within(t: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Flags of the times that lie in one of the spans (start, end), which are in order and apart."""
+    if len(spans) == 0:
+        return np.zeros(len(t), dtype=bool)
+    i = np.searchsorted(spans[:, 0], t, "right") - 1
+    return (i >= 0) & (t <= spans[i, 1])
+
+
 def _spikes(z: np.ndarray, candidate: np.ndarray, far: float) -> np.ndarray:
     """Positions of candidates in up to SPIKE_MAX readings that all lie further than `far` from the level just before and just after, which are the same level."""
     hit = np.zeros(len(z), dtype=bool)
@@ -187,7 +296,7 @@ def judged_readings(samples: DataFrame) -> DataFrame:
 
     samples: series_ref, sample_ts, value, row_id, low_limit, high_limit; rows sent again at the same time are one reading, with the value that arrived first. Null values are left out, NaN stays as a reading without a case, an empty table gives no row.
 
-    Readings are written to the checkpoint folder once; their number and span per source set the length of that source's periods, so that no task gets more than about PERIOD_READINGS readings of a source plus the margin, however many it has. Each period has its own forest: what is normal for the source at that time.
+    Readings are written to the checkpoint folder once; their number and span per source set the length of that source's periods, so that no task gets more than about PERIOD_READINGS readings of a source plus the margin, however many it has. Each period has its own forest: what is normal for the source at that time. What is usual for the source as a whole - noise, off phases, runs of equal values over borders of periods - is gathered from all its periods first and handed to each.
     """
     once = (
         samples.where("series_ref is not null and sample_ts is not null and value is not null")
@@ -202,8 +311,12 @@ def judged_readings(samples: DataFrame) -> DataFrame:
     k = F.floor((F.col("sample_ts") - F.col("t0")) / F.col("period"))
     inside = F.pmod(F.col("sample_ts") - F.col("t0"), F.col("period"))
     near = F.when(F.col("cut") & (inside < F.col("margin")) & (k > 0), k - 1).when(F.col("cut") & (inside >= F.col("period") - F.col("margin")), k + 1)
-    rows = rows.withColumn("k", k).withColumn("p", F.explode(F.array_compact(F.array(k, near))))
+    rows = rows.withColumn("k", k)
+    parts = rows.where("cut").groupBy("series_ref", "k").applyInPandas(_part_group, "series_ref long, k long, t0 long, t1 long, part binary")
+    facts = parts.groupBy("series_ref").applyInPandas(_hand_out, "series_ref long, p long, facts binary")
+    rows = rows.withColumn("p", F.explode(F.array_compact(F.array(k, near))))
     rows = rows.select("series_ref", "p", "sample_ts", "value", "low", "high", (F.col("p") == F.col("k")).alias("own"))
+    rows = rows.unionByName(facts, allowMissingColumns=True)  # the facts of a period are one more row of it
     # By bytes alone the readings would be put into few tasks, but judging them takes long.
     tasks = max(once.sparkSession.sparkContext.defaultParallelism, -(-once.count() // (2 * PERIOD_READINGS)))
     found = rows.repartition(tasks, "series_ref", "p").groupBy("series_ref", "p").applyInPandas(_judge_group, "series_ref long, sample_ts long, value double, score double, code byte")
@@ -211,14 +324,40 @@ def judged_readings(samples: DataFrame) -> DataFrame:
     return found.select("series_ref", "sample_ts", "value", "score", kind.alias("kind"))
 
 
-def _judge_group(g: pd.DataFrame) -> pd.DataFrame:
-    own = g["own"].to_numpy()
-    order = np.argsort(g["sample_ts"].to_numpy(), kind="stable")
-    ts, value = g["sample_ts"].to_numpy()[order], g["value"].to_numpy(dtype=float)[order]
+def _in_order(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Times, values and limits of a group."""
+    g = g.sort_values("sample_ts", kind="stable")
     low, high = (float(g[c].iloc[0]) if pd.notna(g[c].iloc[0]) else np.nan for c in ("low", "high"))
+    return g["sample_ts"].to_numpy(dtype=np.int64), g["value"].to_numpy(dtype=float), low, high
+
+
+def _part_group(g: pd.DataFrame) -> pd.DataFrame:
+    ts, value, low, high = _in_order(g)
+    part = pickle.dumps(_part(ts, value, low, high, coarse=True))
+    return pd.DataFrame({"series_ref": [int(g["series_ref"].iloc[0])], "k": [int(g["k"].iloc[0])], "t0": [ts[0]], "t1": [ts[-1]], "part": [part]})
+
+
+def _hand_out(g: pd.DataFrame) -> pd.DataFrame:
+    """The facts of a source for each of its periods, with the phases and runs that its readings and margins may touch."""
+    g = g.sort_values("k")
+    facts = _facts([pickle.loads(p) for p in g["part"]])
+    t0, t1 = g["t0"].to_numpy(), g["t1"].to_numpy()
+    out = []
+    for i in range(len(g)):
+        a, b = t0[max(0, i - 1)], t1[min(len(g) - 1, i + 1)]
+        near = [x[(x[:, 0] <= b) & (x[:, 1] >= a)] for x in (facts.phases, facts.long)]
+        out.append(pickle.dumps(replace(facts, phases=near[0], long=near[1])))
+    return pd.DataFrame({"series_ref": g["series_ref"].to_numpy(), "p": g["k"].to_numpy(), "facts": out})
+
+
+def _judge_group(g: pd.DataFrame) -> pd.DataFrame:
+    given = g["facts"].notna()
+    facts = pickle.loads(g["facts"][given].iloc[0]) if given.any() else None
+    g = g[~given].sort_values("sample_ts", kind="stable")
+    ts, value, low, high = _in_order(g)
     ref = int(g["series_ref"].iloc[0])
-    found = judge(ts, value, low, high, seed=(ref * 1_000_003 + int(g["p"].iloc[0])) % (1 << 32))
+    found = judge(ts, value, low, high, seed=(ref * 1_000_003 + int(g["p"].iloc[0])) % (1 << 32), facts=facts)
     found.insert(0, "series_ref", ref)
     found.insert(1, "sample_ts", ts)
     found.insert(2, "value", value)
-    return found[own[order]].rename(columns={"kind": "code"})
+    return found[g["own"].to_numpy(dtype=bool)].rename(columns={"kind": "code"})
