@@ -213,3 +213,42 @@ def test_off_phases_rarer_than_three_a_period(spark, monkeypatch):
     want = np.full(2000, "", dtype=object)
     want[1000:1100] = "frozen"
     assert (judged(spark, ts, v) == want).all()
+
+
+def test_sources_that_usually_repeat_their_value():
+    rng = np.random.default_rng(11)
+    ts = np.arange(3000) * 300_000
+    v = np.repeat(20.0 + rng.integers(0, 3, 1500).cumsum() % 5, rng.integers(2, 4, 1500))[:3000]  # coarse values
+    v[1000:1500] = v[1000]
+    v[999], v[1500] = v[1000] - 1, v[1000] + 1
+    v[2000] += 40
+    v[2200:2203] -= 60
+    want = np.zeros(3000, int)
+    want[1000:1500], want[2000], want[2200:2203] = spikes.FROZEN, spikes.SPIKE, spikes.SPIKE
+    assert (kinds(ts, v) == want).all()
+    v = np.full(900, 4.0)  # constant, with spikes of different height
+    v[300], v[600:602] = 80.0, 55.0
+    want = np.zeros(900, int)
+    want[300] = want[600:602] = spikes.SPIKE
+    assert (kinds(ts[:900], v) == want).all()
+    v[600:602] = 4.0
+    want[600:602] = 0
+    assert (kinds(ts[:900], v) == want).all()
+    v = np.repeat(18.0 + 4 * (np.arange(30) % 2), 100)  # set points
+    assert not kinds(ts, v).any()
+    v = np.floor(np.arange(3000) / 3.0)  # a counter of small integers
+    assert not kinds(ts, v).any()
+    v[1500:2100] = v[1500]
+    want = np.zeros(3000, int)
+    want[1500:2100] = spikes.FROZEN
+    assert (kinds(ts, v) == want).all()
+
+
+def test_coarse_sources_in_periods(spark, monkeypatch):
+    monkeypatch.setattr(spikes, "PERIOD_READINGS", 300)
+    v = np.floor(np.arange(2000) / 3.0) % 7 + 20
+    v[600:1500] = 30.0
+    v[1800] += 50
+    want = np.full(2000, "", dtype=object)
+    want[600:1500], want[1800] = "frozen", "spike"
+    assert (judged(spark, np.arange(2000) * 300_000, v) == want).all()

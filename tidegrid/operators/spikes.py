@@ -22,6 +22,10 @@ TREES, PSI, CANDIDATE = 32, 128, 0.5
 SPIKE_MAX, FROZEN_MIN, FAR, STILL = 9, 10, 9.0, 0.3
 #: A wider part, as rounding of a small noise needs it, for stretches of some more readings: by chance, ten readings keep within it too often.
 STILL_WIDE, FROZEN_WIDE = 0.42, 12
+#: For sources that usually repeat their value: part of the runs of equal values that are usual, and the number of sources that may have one longer run by chance in one of them.
+USUAL_RUNS, BY_CHANCE = 0.95, 100
+#: Decimals, and part of the value, down to which the values of a source are told apart.
+DECIMALS, RELATIVE = 6, 1e-6
 DAY_MS = 86_400_000
 #: Kinds of case by their code in the Python workers, whose results stay numeric; 0 is none.
 KINDS = ("limit", "spike", "frozen")
@@ -84,22 +88,27 @@ def _equal_runs(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Part:
-    """What a period tells about its source. runs: (start time, end time, readings, value) of its first and last run of equal values, the same one if there is no other. zero: (start time, end time, readings) of the runs of 0 between these. changes: differences of lively neighbours, those of runs of 0 left out, and with them."""
+    """What a period tells about its source. runs: (start time, end time, readings, value) of its first and last run of equal values, the same one if there is no other. zero: (start time, end time, readings) of the runs of 0 between these. changes: differences of lively neighbours, those of runs of 0 left out, and with them. lengths: readings of the runs between the first and the last. steps: changes of the level, which spikes don't move. resolution: the least step that the values can show."""
 
     runs: list[tuple[int, int, int, float]]
     zero: np.ndarray
     changes: tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    lengths: tuple[np.ndarray, np.ndarray]
+    steps: tuple[np.ndarray, np.ndarray]
+    resolution: float
 
 
 @dataclass
 class Facts:
-    """What holds for a source as a whole. noise: usual noise; plenty: number of differences it comes from. phases: start and end time of the off phases, usual: their usual readings. long: start time, end time and readings of the runs of equal values that cross a border of periods."""
+    """What holds for a source as a whole. noise: usual noise; plenty: number of differences it comes from. phases: start and end time of the off phases, usual: their usual readings. long: start time, end time and readings of the runs of equal values that cross a border of periods. step: usual step between levels, at least the resolution of the values. longest: readings from which a run of equal values is longer than the source's other runs let expect."""
 
     noise: float
     plenty: int
     phases: np.ndarray
     usual: float
     long: np.ndarray
+    step: float
+    longest: float
 
 
 def _part(ts: np.ndarray, value: np.ndarray, low: float, high: float, coarse: bool = False) -> Part:
@@ -108,19 +117,57 @@ def _part(ts: np.ndarray, value: np.ndarray, low: float, high: float, coarse: bo
     t, y = ts[at], value[at]
     starts, length = _equal_runs(y)
     run = np.repeat(length, length)
-    lively = run < FROZEN_MIN
+    lively = _lively(run)
     changes = []
     for flags in (lively & ~((y == 0.0) & (run >= 3)), lively):
-        d = np.abs(np.diff(y[flags]))
-        if coarse:
-            mantissa, exponent = np.frexp(d)
-            d = np.ldexp(np.round(mantissa * 4096) / 4096, exponent)
-        changes.append(_counted(d))
+        changes.append(_counted(_rounded(np.abs(np.diff(y[flags])), coarse)))
+    steps, resolution = np.zeros(0), np.inf
+    if len(y) and min(map(_middle, changes)) == 0.0:
+        level = _median(y, SPIKE_MAX)
+        steps, resolution = np.abs(np.diff(level)), _resolution(level)
     ends = starts + length - 1
     runs = [(int(t[starts[i]]), int(t[ends[i]]), int(length[i]), float(y[starts[i]])) for i in ((0, -1) if len(starts) else ())]
     inner = np.arange(1, len(starts) - 1)
+    lengths = _counted(length[inner])
     inner = inner[(y[starts[inner]] == 0.0) & (length[inner] >= 3)]
-    return Part(runs, np.column_stack([t[starts[inner]], t[ends[inner]], length[inner]]).astype(np.int64).reshape(-1, 3), tuple(changes))
+    return Part(runs, np.column_stack([t[starts[inner]], t[ends[inner]], length[inner]]).astype(np.int64).reshape(-1, 3), tuple(changes), lengths, _counted(_rounded(steps[steps > 0], coarse)), resolution)
+
+
+def _lively(run: np.ndarray) -> np.ndarray:
+    """Flags of the readings, given the length of the run each lies in, that tell how the source varies: all in short runs, but not where fewer than FROZEN_MIN of them stand next to a long one, which may be spikes."""
+    flags = run < FROZEN_MIN
+    if not flags.all():
+        for s, e in _runs(flags):
+            if e - s < FROZEN_MIN:
+                flags[s:e] = False
+    return flags
+
+
+def _rounded(d: np.ndarray, coarse: bool) -> np.ndarray:
+    if not coarse:
+        return d
+    mantissa, exponent = np.frexp(d)
+    return np.ldexp(np.round(mantissa * 4096) / 4096, exponent)
+
+
+def _resolution(level: np.ndarray) -> float:
+    """The unit of the last decimal that the values use, up to DECIMALS, and not under RELATIVE of them."""
+    level = np.unique(level)
+    least = max(10.0**-DECIMALS, RELATIVE * float(np.abs(level).max()))
+    for k in range(DECIMALS):
+        if np.allclose(level, np.round(level, k), rtol=0, atol=1e-9):
+            return max(10.0**-k, least)
+    return least
+
+
+def _longest(lengths: tuple[np.ndarray, np.ndarray]) -> float:
+    """Readings that a run of equal values reaches by chance in one of BY_CHANCE sources: the tail of the usual runs, carried on as that of a geometric distribution. Too few runs have no tail, so that nothing is too long."""
+    value, count = lengths
+    n = int(count.sum())
+    if n == 0:
+        return np.inf
+    high = value[np.searchsorted(np.cumsum(count), int(np.ceil(USUAL_RUNS * (n - 1))), "right")]
+    return max(FROZEN_MIN, float(high) * np.log(BY_CHANCE * n) / -np.log(1 - USUAL_RUNS))
 
 
 def _facts(parts: list[Part]) -> Facts:
@@ -140,7 +187,11 @@ def _facts(parts: list[Part]) -> Facts:
     zero = np.concatenate(zero)
     phases, usual = _phases(zero[np.argsort(zero[:, 0], kind="stable")])
     changes = _merged([p.changes[0 if len(phases) else 1] for p in parts])
-    return Facts(_noise(changes), int(changes[1].sum()), phases, usual, np.array(long, dtype=np.int64).reshape(-1, 3))
+    steps = _middle(_merged([p.steps for p in parts]))
+    lengths = _merged([*(p.lengths for p in parts), _counted(np.array([r[2] for r in runs], dtype=np.int64))])
+    resolution = min(p.resolution for p in parts)
+    step = max(steps, resolution) if np.isfinite(resolution) else steps
+    return Facts(_noise(changes), int(changes[1].sum()), phases, usual, np.array(long, dtype=np.int64).reshape(-1, 3), step, _longest(lengths))
 
 
 def _phases(zero: np.ndarray) -> tuple[np.ndarray, float]:
@@ -177,6 +228,8 @@ def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int
     """score, kind of each reading of one source, or of a period of one whose facts are given, in order of time, kind being LIMIT, SPIKE, FROZEN or 0.
 
     A reading outside [low, high] (a NaN limit is none) or infinite is LIMIT, by rule. NaN is never a case and takes no part. The rest get four features - distance from the rolling level, difference to the nearer neighbour, distance from the usual value at this time of day, length of the still stretch it lies in - and a score by a forest fitted on the source's own readings, where a still stretch or an off phase counts once, else a long one would make itself look normal. Readings that score CANDIDATE or more go to an exact check: a spike must leave and come back to the same level within SPIKE_MAX readings, a frozen stretch must last FROZEN_MIN readings, and values of 0 that come back regularly are off phases and not cases. Noise, off phases and runs of equal values are those of the whole source. A period that is noisier than its source is judged by its own noise. Where a period holds too few lively readings to fit a forest, though its source has them, the exact check alone decides on still stretches.
+
+    A source whose neighbours mostly repeat their value - coarse steps, set points, counters - has no noise: there a stretch is still if its run of equal values is longer than the source's other runs let expect, and the unit of a spike is the usual step between levels, at least the resolution of the values.
     """
     facts = facts or _facts([_part(ts, value, low, high)])
     n = len(value)
@@ -196,16 +249,18 @@ def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int
     run = np.repeat(length, length)
     for s, e, k in facts.long:
         run[(t >= s) & (t <= e)] = k
-    lively = (run < FROZEN_MIN) & ~off
+    lively = _lively(run) & ~off
     d = np.abs(np.diff(y[lively]))
-    own_noise = _noise(_counted(d)) if len(d) >= PSI else 0.0
+    own_noise = _noise(_counted(d)) if len(d) >= PSI and facts.noise > 0.0 else 0.0
     noise = max(facts.noise, own_noise)
     varies = noise > 0.0
     # a period that is all still has no noise of its own
     unit = own_noise if own_noise > STILL_WIDE * facts.noise else facts.noise
     if not varies:  # the source usually repeats its value
-        unit = float(np.median(d[d > 0])) if (d > 0).any() else 0.0
-    still = _still(y, STILL * noise, FROZEN_MIN) if varies else []
+        unit = facts.step
+        still = [(s, e) for s, e in _runs(run >= facts.longest) for s, e in _equal_spans(y, s, e)]
+    else:
+        still = _still(y, STILL * noise, FROZEN_MIN)
     for a, b in _still(y, STILL_WIDE * noise, FROZEN_WIDE) if varies else []:
         if not any(a < e and s < b for s, e in still):
             still.append((a, b))
@@ -255,6 +310,12 @@ def _within(t: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return (i >= 0) & (t <= spans[i, 1])
 
 
+def _equal_spans(y: np.ndarray, s: int, e: int) -> list[tuple[int, int]]:
+    """[start, end) of the runs of equal values in y[s:e]."""
+    starts, length = _equal_runs(y[s:e])
+    return [(s + a, s + a + k) for a, k in zip(starts, length)]
+
+
 def _spikes(z: np.ndarray, candidate: np.ndarray, far: float) -> np.ndarray:
     """Positions of candidates in up to SPIKE_MAX readings that all lie further than `far` from the level just before and just after, which are the same level."""
     hit = np.zeros(len(z), dtype=bool)
