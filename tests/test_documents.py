@@ -252,3 +252,27 @@ def test_coarse_sources_in_periods(spark, monkeypatch):
     want = np.full(2000, "", dtype=object)
     want[600:1500], want[1800] = "frozen", "spike"
     assert (judged(spark, np.arange(2000) * 300_000, v) == want).all()
+
+
+def test_zeros_at_irregular_distances_are_no_off_phases():
+    ts, v = waves(2000, 12)
+    want = np.zeros(2000, int)
+    for s, k, kind in ((210, 4, spikes.SPIKE), (500, 5, spikes.SPIKE), (1370, 4, spikes.SPIKE), (1500, 6, spikes.SPIKE)):
+        v[s : s + k], want[s : s + k] = 0.0, kind
+    assert (kinds(ts, v) == want).all()
+    ts, v = waves(2000, 13)
+    want = np.zeros(2000, int)
+    for s, k in ((210, 40), (500, 44), (1700, 42)):  # stuck at 0
+        v[s : s + k], want[s : s + k] = 0.0, spikes.FROZEN
+    assert (kinds(ts, v) == want).all()
+
+
+def test_a_dropout_between_off_phases():
+    ts, v = waves(2000, 14)
+    v[np.arange(2000) % 100 < 10] = 0.0
+    v[1004] = v[50]  # an interrupted phase
+    v[500:510] = v[511]  # a phase that did not come
+    v[500:510] += np.random.default_rng(1).normal(0, 0.5, 10)
+    v[1250:1255] = 0.0
+    got = kinds(ts, v)
+    assert (got[1250:1255] == spikes.SPIKE).all() and not np.delete(got, np.arange(1250, 1255))[v[np.delete(np.arange(2000), np.arange(1250, 1255))] == 0].any()

@@ -26,6 +26,8 @@ STILL_WIDE, FROZEN_WIDE = 0.42, 12
 USUAL_RUNS, BY_CHANCE = 0.95, 100
 #: Decimals, and part of the value, down to which the values of a source are told apart.
 DECIMALS, RELATIVE = 6, 1e-6
+#: Off phases: least number; part of their usual distance by which a distance may differ from it, and part of the distances that must keep to this; number of distances to another phase, for gaps in the readings.
+PHASES_MIN, PHASE_SPREAD, PHASE_SHARE, PHASE_REACH = 3, 0.2, 0.75, 7
 DAY_MS = 86_400_000
 #: Kinds of case by their code in the Python workers, whose results stay numeric; 0 is none.
 KINDS = ("limit", "spike", "frozen")
@@ -195,11 +197,37 @@ def _facts(parts: list[Part]) -> Facts:
 
 
 def _phases(zero: np.ndarray) -> tuple[np.ndarray, float]:
-    """(start, end) of off phases among a source's runs of three or more zeros, and their usual readings: off phases come back, and a stretch of 0 that is far longer than they are is not one of them."""
-    if len(zero) < 3:
-        return zero[:0, :2], 0.0
+    """(start, end) of off phases among a source's runs (start time, end time, readings) of three or more zeros in order, and their usual readings: off phases come back at regular distances, and a stretch of 0 that is far longer than they are is not one of them."""
+    none = zero[:0, :2], 0.0
+    if len(zero) < PHASES_MIN:
+        return none
     usual = float(np.median(zero[:, 2]))
-    return zero[zero[:, 2] <= max(2 * usual, usual + 5), :2], usual
+    fit = zero[zero[:, 2] <= max(2 * usual, usual + 5)]
+    pace = np.median((fit[:, 1] - fit[:, 0]) / (fit[:, 2] - 1))
+    # a phase that a few other readings interrupt is one phase; but phases may also be that close together
+    apart = np.concatenate([[True], fit[1:, 0] - fit[:-1, 1] > (SPIKE_MAX + 1) * pace])
+    for first in (apart, np.ones(len(fit), dtype=bool)):
+        starts = fit[first, 0]
+        on = _regular(starts)
+        if on.any():
+            return fit[on[np.cumsum(first) - 1], :2], usual
+    return none
+
+
+def _regular(starts: np.ndarray) -> np.ndarray:
+    """Flags of the times that come back regularly: all false if the distances spread too far around their median, else those that lie a few median distances from another one."""
+    on = np.zeros(len(starts), dtype=bool)
+    if len(starts) < PHASES_MIN:
+        return on
+    gap = np.diff(starts)
+    usual = np.median(gap)
+    if (np.abs(gap - usual) <= PHASE_SPREAD * usual).mean() < PHASE_SHARE:
+        return on
+    for m in (*range(-PHASE_REACH, 0), *range(1, PHASE_REACH + 1)):
+        want = starts + m * usual
+        i = np.clip(np.searchsorted(starts, want), 1, len(starts) - 1)
+        on |= np.minimum(np.abs(starts[i] - want), np.abs(starts[i - 1] - want)) <= PHASE_SPREAD * usual
+    return on
 
 
 def _still(y: np.ndarray, width: float, least: int) -> list[tuple[int, int]]:
@@ -227,7 +255,7 @@ def _still(y: np.ndarray, width: float, least: int) -> list[tuple[int, int]]:
 def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int = 0, facts: Facts | None = None) -> pd.DataFrame:
     """score, kind of each reading of one source, or of a period of one whose facts are given, in order of time, kind being LIMIT, SPIKE, FROZEN or 0.
 
-    A reading outside [low, high] (a NaN limit is none) or infinite is LIMIT, by rule. NaN is never a case and takes no part. The rest get four features - distance from the rolling level, difference to the nearer neighbour, distance from the usual value at this time of day, length of the still stretch it lies in - and a score by a forest fitted on the source's own readings, where a still stretch or an off phase counts once, else a long one would make itself look normal. Readings that score CANDIDATE or more go to an exact check: a spike must leave and come back to the same level within SPIKE_MAX readings, a frozen stretch must last FROZEN_MIN readings, and values of 0 that come back regularly are off phases and not cases. Noise, off phases and runs of equal values are those of the whole source. A period that is noisier than its source is judged by its own noise. Where a period holds too few lively readings to fit a forest, though its source has them, the exact check alone decides on still stretches.
+    A reading outside [low, high] (a NaN limit is none) or infinite is LIMIT, by rule. NaN is never a case and takes no part. The rest get four features - distance from the rolling level, difference to the nearer neighbour, distance from the usual value at this time of day, length of the still stretch it lies in - and a score by a forest fitted on the source's own readings, where a still stretch or an off phase counts once, else a long one would make itself look normal. Readings that score CANDIDATE or more go to an exact check: a spike must leave and come back to the same level within SPIKE_MAX readings, a frozen stretch must last FROZEN_MIN readings, and values of 0 that come back at regular distances are off phases and not cases. Noise, off phases and runs of equal values are those of the whole source. A period that is noisier than its source is judged by its own noise. Where a period holds too few lively readings to fit a forest, though its source has them, the exact check alone decides on still stretches.
 
     A source whose neighbours mostly repeat their value - coarse steps, set points, counters - has no noise: there a stretch is still if its run of equal values is longer than the source's other runs let expect, and the unit of a spike is the usual step between levels, at least the resolution of the values.
     """
