@@ -276,3 +276,21 @@ def test_a_dropout_between_off_phases():
     v[1250:1255] = 0.0
     got = kinds(ts, v)
     assert (got[1250:1255] == spikes.SPIKE).all() and not np.delete(got, np.arange(1250, 1255))[v[np.delete(np.arange(2000), np.arange(1250, 1255))] == 0].any()
+
+
+def test_periods_are_bounded_by_readings_also_of_a_bunched_source(spark, monkeypatch):
+    monkeypatch.setattr(spikes, "PERIOD_READINGS", 300)
+    ts, v = waves(1500, 15)
+    ts[:1400] = ts[0] + np.arange(1400) * 1000  # most readings in a small part of its life
+    v[700] += 30
+    groups = spark.sparkContext.accumulator(0)
+    judge = spikes._judge_group
+
+    def counted(g):
+        groups.add(int(len(g) > 300 + 2 * 20 + 1))
+        return judge(g)
+
+    monkeypatch.setattr(spikes, "_judge_group", counted)
+    want = np.full(1500, "", dtype=object)
+    want[700] = "spike"
+    assert (judged(spark, ts, v) == want).all() and groups.value == 0

@@ -8,13 +8,13 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.iforest import IsolationForest
 from tidegrid.session import checkpointed, small_side
 
-#: Readings of one source that are judged together at most, about: a source with more is cut into equal periods with a margin on both sides.
+#: Readings of one source that are judged together at most, about: a source with more is cut into periods of equal numbers of readings with a margin on both sides.
 PERIOD_READINGS = 20_000
 #: Forest: trees, rows per tree, and the score from which a reading is a candidate.
 TREES, PSI, CANDIDATE = 32, 128, 0.5
@@ -385,7 +385,7 @@ def judged_readings(samples: DataFrame) -> DataFrame:
 
     samples: series_ref, sample_ts, value, row_id, low_limit, high_limit; rows sent again at the same time are one reading, with the value that arrived first. Null values are left out, NaN stays as a reading without a case, an empty table gives no row.
 
-    Readings are written to the checkpoint folder once; their number and span per source set the length of that source's periods, so that no task gets more than about PERIOD_READINGS readings of a source plus the margin, however many it has. Each period has its own forest: what is normal for the source at that time. What is usual for the source as a whole - noise, off phases, runs of equal values over borders of periods - is gathered from all its periods first and handed to each.
+    Readings are written to the checkpoint folder once; a source's periods have equal numbers of readings, so that no group has more than PERIOD_READINGS readings of a source plus the margins, however many it has and however they are bunched. Each period has its own forest: what is normal for the source at that time. What is usual for the source as a whole - noise, off phases, runs of equal values over borders of periods - is gathered from all its periods first and handed to each.
     """
     once = (
         samples.where("series_ref is not null and sample_ts is not null and value is not null")
@@ -393,19 +393,21 @@ def judged_readings(samples: DataFrame) -> DataFrame:
         .agg(F.min_by("value", "row_id").alias("value"), F.first("low_limit").alias("low"), F.first("high_limit").alias("high"))
     )
     once = checkpointed(once)
-    size = once.groupBy("series_ref").agg(F.count(F.lit(1)).alias("n"), F.min("sample_ts").alias("t0"), F.max("sample_ts").alias("t1"))
-    period = F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / F.lit(float(PERIOD_READINGS)))).cast("long")
-    size = size.select("series_ref", "t0", period.alias("period"), F.ceil(period / 16.0).cast("long").alias("margin"), (F.col("n") > PERIOD_READINGS).alias("cut"))
-    rows = once.join(small_side(size), "series_ref")
-    k = F.floor((F.col("sample_ts") - F.col("t0")) / F.col("period"))
-    inside = F.pmod(F.col("sample_ts") - F.col("t0"), F.col("period"))
-    near = F.when(F.col("cut") & (inside < F.col("margin")) & (k > 0), k - 1).when(F.col("cut") & (inside >= F.col("period") - F.col("margin")), k + 1)
+    sizes = once.groupBy("series_ref").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PERIOD_READINGS)
+    per = F.ceil(F.col("n") / F.ceil(F.col("n") / F.lit(float(PERIOD_READINGS)))).cast("long")
+    sizes = checkpointed(sizes.select("series_ref", "n", per.alias("per"), F.ceil(per / 16.0).cast("long").alias("margin")))
+    whole = once.join(small_side(sizes.select("series_ref")), "series_ref", "left_anti")
+    whole = whole.select("series_ref", F.lit(0).cast("long").alias("p"), "sample_ts", "value", "low", "high", F.lit(True).alias("own"))
+    rows = _numbered(once.join(small_side(sizes), "series_ref"))
+    k, inside = F.floor(F.col("rank") / F.col("per")), F.pmod(F.col("rank"), F.col("per"))
+    near = F.when((inside < F.col("margin")) & (k > 0), k - 1)
+    after = F.when((inside >= F.col("per") - F.col("margin")) & ((k + 1) * F.col("per") < F.col("n")), k + 1)
     rows = rows.withColumn("k", k)
-    parts = rows.where("cut").groupBy("series_ref", "k").applyInPandas(_part_group, "series_ref long, k long, t0 long, t1 long, part binary")
+    parts = rows.groupBy("series_ref", "k").applyInPandas(_part_group, "series_ref long, k long, t0 long, t1 long, part binary")
     facts = parts.groupBy("series_ref").applyInPandas(_hand_out, "series_ref long, p long, facts binary")
-    rows = rows.withColumn("p", F.explode(F.array_compact(F.array(k, near))))
+    rows = rows.withColumn("p", F.explode(F.array_compact(F.array("k", near, after))))
     rows = rows.select("series_ref", "p", "sample_ts", "value", "low", "high", (F.col("p") == F.col("k")).alias("own"))
-    rows = rows.unionByName(facts, allowMissingColumns=True)  # the facts of a period are one more row of it
+    rows = whole.unionByName(rows).unionByName(facts, allowMissingColumns=True)  # the facts of a period are one more row of it
     # By bytes alone the readings would be put into few tasks, but judging them takes long.
     tasks = max(once.sparkSession.sparkContext.defaultParallelism, -(-once.count() // (2 * PERIOD_READINGS)))
     found = rows.repartition(tasks, "series_ref", "p").groupBy("series_ref", "p").applyInPandas(_judge_group, "series_ref long, sample_ts long, value double, score double, code byte")
@@ -413,6 +415,16 @@ def judged_readings(samples: DataFrame) -> DataFrame:
     return found.select("series_ref", "sample_ts", "value", "score", kind.alias("kind"))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with rank, the position of each from 0 in its source in order of time, by a range sort and counts per task: no task sees all rows of a source."""
+    rows = rows.repartitionByRange("series_ref", "sample_ts").sortWithinPartitions("series_ref", "sample_ts").withColumn("id", F.monotonically_increasing_id())
+    rows = checkpointed(rows).withColumn("task", F.shiftright("id", 33))
+    tasks = rows.groupBy("series_ref", "task").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("series_ref").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = tasks.select("series_ref", "task", (before - F.col("first")).alias("shift"))
+    return rows.join(small_side(tasks), ["series_ref", "task"]).withColumn("rank", F.col("id") + F.col("shift")).drop("task", "id", "shift")
+
+
 def _in_order(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Times, values and limits of a group."""
     g = g.sort_values("sample_ts", kind="stable")
