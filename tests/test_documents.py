@@ -294,3 +294,15 @@ def test_periods_are_bounded_by_readings_also_of_a_bunched_source(spark, monkeyp
     want = np.full(1500, "", dtype=object)
     want[700] = "spike"
     assert (judged(spark, ts, v) == want).all() and groups.value == 0
+
+
+def test_a_spike_in_a_short_source():
+    for n in range(5, 10):
+        ts, v = waves(n, n)
+        assert not kinds(ts, v).any()
+        v[2] += 40
+        assert (kinds(ts, v) == np.where(np.arange(n) == 2, spikes.SPIKE, 0)).all()
+        v = np.where(np.arange(n) == 2, 80.0, 4.0)
+        assert (kinds(ts, v) == np.where(np.arange(n) == 2, spikes.SPIKE, 0)).all()
+        assert not kinds(ts, np.full(n, 4.0)).any()
+    assert not kinds(ts[:4], np.array([4.0, 4.0, 80.0, 4.0])).any()

@@ -20,6 +20,8 @@ PERIOD_READINGS = 20_000
 TREES, PSI, CANDIDATE = 32, 128, 0.5
 #: Exact check: longest spike and shortest frozen stretch in readings; distance from the level, in units of the usual noise, of a spike; part of the usual noise within which a stretch counts as frozen.
 SPIKE_MAX, FROZEN_MIN, FAR, STILL = 9, 10, 9.0, 0.3
+#: Fewest readings of a source that tell what is usual for it.
+SHORTEST = 5
 #: A wider part, as rounding of a small noise needs it, for stretches of some more readings: by chance, ten readings keep within it too often.
 STILL_WIDE, FROZEN_WIDE = 0.42, 12
 #: For sources that usually repeat their value: part of the runs of equal values that are usual, and the number of sources that may have one longer run by chance in one of them.
@@ -152,6 +154,13 @@ def _rounded(d: np.ndarray, coarse: bool) -> np.ndarray:
     return np.ldexp(np.round(mantissa * 4096) / 4096, exponent)
 
 
+def _noise_of_few(y: np.ndarray) -> float:
+    """Usual noise of fewer than FROZEN_MIN readings, of whose differences a spike spoils two: from the lower median of these, at least the resolution of the values."""
+    d = np.sort(np.abs(np.diff(y)))
+    few = np.array([d[(len(d) - 1) // 2]])
+    return _noise(_counted(few)) or _resolution(np.sort(y)[[len(y) // 2]])
+
+
 def _resolution(level: np.ndarray) -> float:
     """The unit of the last decimal that the values use, up to DECIMALS, and not under RELATIVE of them."""
     level = np.unique(level)
@@ -257,7 +266,7 @@ def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int
 
     A reading outside [low, high] (a NaN limit is none) or infinite is LIMIT, by rule. NaN is never a case and takes no part. The rest get four features - distance from the rolling level, difference to the nearer neighbour, distance from the usual value at this time of day, length of the still stretch it lies in - and a score by a forest fitted on the source's own readings, where a still stretch or an off phase counts once, else a long one would make itself look normal. Readings that score CANDIDATE or more go to an exact check: a spike must leave and come back to the same level within SPIKE_MAX readings, a frozen stretch must last FROZEN_MIN readings, and values of 0 that come back at regular distances are off phases and not cases. Noise, off phases and runs of equal values are those of the whole source. A period that is noisier than its source is judged by its own noise. Where a period holds too few lively readings to fit a forest, though its source has them, the exact check alone decides on still stretches.
 
-    A source whose neighbours mostly repeat their value - coarse steps, set points, counters - has no noise: there a stretch is still if its run of equal values is longer than the source's other runs let expect, and the unit of a spike is the usual step between levels, at least the resolution of the values.
+    A source whose neighbours mostly repeat their value - coarse steps, set points, counters - has no noise: there a stretch is still if its run of equal values is longer than the source's other runs let expect, and the unit of a spike is the usual step between levels, at least the resolution of the values. A source of fewer than FROZEN_MIN readings has no frozen stretch but may have spikes; fewer than SHORTEST don't tell what is usual, and only limits are judged.
     """
     facts = facts or _facts([_part(ts, value, low, high)])
     n = len(value)
@@ -266,7 +275,7 @@ def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int
     kind[out] = LIMIT
     score[out] = 1.0
     t, y = ts[at], value[at]
-    if len(y) < FROZEN_MIN:
+    if len(y) < SHORTEST:
         return pd.DataFrame({"score": score, "kind": kind})
     starts, length = _equal_runs(y)
     off = _within(t, facts.phases) & (y == 0.0)
@@ -284,7 +293,10 @@ def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int
     varies = noise > 0.0
     # a period that is all still has no noise of its own
     unit = own_noise if own_noise > STILL_WIDE * facts.noise else facts.noise
-    if not varies:  # the source usually repeats its value
+    if len(y) < FROZEN_MIN:
+        unit = _noise_of_few(y)
+        still = []
+    elif not varies:  # the source usually repeats its value
         unit = facts.step
         still = [(s, e) for s, e in _runs(run >= facts.longest) for s, e in _equal_spans(y, s, e)]
     else:
