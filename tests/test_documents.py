@@ -91,6 +91,14 @@ def test_regular_grid_against_brute_force(spark, stale, block):
     assert got.count() == len(have) and have == brute_grid(readings, series, stale)
 
 
+def test_slots_without_a_sample_come_from_the_intervals(spark):
+    from tidegrid.queries.problems import p2_found
+
+    plan = p2_found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # the window that ends an interval where the next reading begins, and the one that carries it into later slots
+    assert plan.count("Window [") == 2 and "lead(ts" in plan and "last(" in plan
+
+
 def test_grid_of_empty_tables(spark):
     r = spark.createDataFrame([], "series_ref long, sample_ts long, value double, row_id long, grid_ms long")
     s = spark.createDataFrame([], "series_ref long, min_ts long, max_ts long, grid_ms long")

@@ -13,7 +13,7 @@ _SUMMARY = "struct<n: bigint, first_ts: bigint, last_ts: bigint, last_value: dou
 def regular_grid(readings: DataFrame, series: DataFrame, stale_slots: int = 2, block_slots: int = 64) -> DataFrame:
     """One row per series and grid slot, from the slot of min_ts to that of max_ts: (series_ref, slot_ts, n_readings, mean, coverage, last_value, status).
 
-    Each reading holds from its time until the next reading of its series, at most for stale_slots grid steps: a step function. The intervals are cut at the slot borders; mean is the time-weighted average over the covered part of a slot (null where nothing finite covers it), coverage the covered share of the slot, n_readings the rows that fall into it, repeated ones included, and last_value the latest value that holds in it. status is `observed` (a reading in the slot), `carried` (only an earlier reading reaches into it) or `missing`.
+    Each reading holds from its time until the next reading of its series, at most for stale_slots grid steps: a step function. The intervals are cut at the slot borders; mean is the time-weighted average over the covered part of a slot (null where nothing finite covers it), coverage the covered share of the slot, n_readings the rows that fall into it, repeated ones included, and last_value the latest value that holds in it. status comes from the last interval that begins before the slot's end: `observed` if it begins in the slot, else `carried` if an earlier one covers part of the slot, else `missing`.
 
     readings: series_ref, sample_ts, value, row_id, grid_ms; of several rows at one time the first to arrive gives the value. series: series_ref, min_ts, max_ts, grid_ms. Series without a positive grid_ms or with min_ts after max_ts give no slot; NaN and infinite readings count as readings but cover nothing; an empty table gives an empty grid.
 
@@ -41,7 +41,7 @@ def regular_grid(readings: DataFrame, series: DataFrame, stale_slots: int = 2, b
     inside = held.groupBy("series_ref", "slot", "grid_ms").agg(
         F.sum("n").alias("n"),
         F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
+        F.max(F.when(F.col("held") > 0, ts)).alias("last_ts"),
         F.max_by("value", "ts").alias("last_value"),
         F.sum(F.when(finite, F.col("held"))).alias("covered"),
         F.sum(F.when(finite, F.col("held") * F.col("value"))).alias("area"),
@@ -61,6 +61,7 @@ def regular_grid(readings: DataFrame, series: DataFrame, stale_slots: int = 2, b
     covered = F.coalesce("covered", F.lit(0)) + F.coalesce("carried", F.lit(0))
     area = F.coalesce("area", F.lit(0.0)) + F.coalesce(F.col("carried") * F.col("carried_value"), F.lit(0.0))
     n = F.coalesce("n", F.lit(0))
+    begun = F.coalesce("last_ts", "before.ts") >= F.col("slot")
     return cells.select(
         "series_ref",
         F.col("slot").alias("slot_ts"),
@@ -68,5 +69,5 @@ def regular_grid(readings: DataFrame, series: DataFrame, stale_slots: int = 2, b
         F.when(covered > 0, area / covered).alias("mean"),
         (covered / grid).alias("coverage"),
         F.when(n > 0, F.col("last_value")).otherwise(F.col("carried_value")).alias("last_value"),
-        F.when(n > 0, "observed").when(covered > 0, "carried").otherwise("missing").alias("status"),
+        F.when(begun, "observed").when(covered > 0, "carried").otherwise("missing").alias("status"),
     )

@@ -34,8 +34,8 @@ def p2_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Slots without a usable sample."""
-    return _grid(spark, d).where("n_readings = 0").select("series_ref", "slot_ts")
+    """Slots without a usable sample: those in which no validity interval begins."""
+    return _grid(spark, d).where("status <> 'observed'").select("series_ref", "slot_ts")
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
