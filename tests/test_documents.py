@@ -314,3 +314,55 @@ def test_a_spike_in_a_short_source():
         assert (kinds(ts, v) == np.where(np.arange(n) == 2, spikes.SPIKE, 0)).all()
         assert not kinds(ts, np.full(n, 4.0)).any()
     assert not kinds(ts[:4], np.array([4.0, 4.0, 80.0, 4.0])).any()
+
+
+def test_the_forest_decides(monkeypatch):
+    """With a threshold of 0, or without scores, the same extents give other cases."""
+    ts, v = waves(900, 21)
+    noise = 0.5
+    rng = np.random.default_rng(3)
+    for s, k in ((100, 1), (200, 3), (640, 6)):
+        v[s : s + k] = np.median(v[s - 5 : s + 5]) + 6 * noise + rng.normal(0, 0.1, k)
+    v[300:303] += 30 * noise
+    v[450:461] = v[450] + np.linspace(0, 0.58 * noise, 11)  # hardly still
+    v[700:715] = v[700]
+    want = np.zeros(900, int)
+    want[300:303], want[700:715] = spikes.SPIKE, spikes.FROZEN
+    assert (kinds(ts, v) == want).all()
+    monkeypatch.setattr(spikes, "CASE", 0.0)
+    loose = kinds(ts, v)
+    assert loose[100] == loose[201] == loose[642] == spikes.SPIKE and loose[455] == spikes.FROZEN
+    monkeypatch.setattr(spikes, "CASE", 0.5)
+    monkeypatch.setattr(spikes, "_scores", lambda forest, features: np.zeros(len(features)))
+    assert not kinds(ts, v).any()
+
+
+def test_scores_rise_with_each_feature_and_mean_the_same_for_every_source():
+    from tidegrid.functions.iforest import IsolationForest
+
+    rng = np.random.default_rng(5)
+    for n in (300, 5000):
+        usual = np.column_stack([spikes._squashed(np.abs(rng.normal(0, s, n)), m) for s, m in ((1.2, spikes.FAR), (1.0, spikes.APART), (3.0, spikes.APART))] + [np.zeros(n)])
+        forest = IsolationForest(usual, spikes.TREES, spikes.PSI, seed=n)
+        own = forest.score(usual)
+        assert np.quantile(own, 0.99) < 0.45 and np.median(own) < 0.3
+        for feature in range(4):
+            row = np.zeros((5, 4))
+            row[:, feature] = [0.0, 0.2, 0.5, 0.8, 1.0]
+            score = forest.score(row)
+            assert (np.diff(score) > 0).all() and score[0] < 0.3 and score[-1] > 0.6
+
+
+def test_cases_do_not_depend_on_periods(spark, monkeypatch):
+    ts, v = waves(6000, 22)
+    rng = np.random.default_rng(4)
+    for s in range(150, 5900, 310):
+        v[s : s + int(rng.integers(1, 9))] += rng.choice([-1, 1]) * rng.uniform(4, 40) * 0.5
+    for s in range(290, 5900, 620):
+        k = int(rng.integers(10, 40))
+        v[s : s + k] = v[s] + rng.normal(0, rng.choice([0.0, 0.02, 0.08, 0.15]), k)
+    got = []
+    for readings in (20_000, 2_600, 2_048):
+        monkeypatch.setattr(spikes, "PERIOD_READINGS", readings)
+        got.append(judged(spark, ts, v))
+    assert (got[0] != "").sum() > 100 and (got[0] == got[1]).all() and (got[0] == got[2]).all()

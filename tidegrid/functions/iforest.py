@@ -1,7 +1,9 @@
-"""Isolation forest in numpy: all trees grow level by level at once, and all rows fall through them at once."""
+"""Isolation forest in numpy: all trees are filled level by level at once, and all rows fall through them at once."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -12,55 +14,64 @@ def expected_path(n):
     return np.where(n > 2, 2 * (np.log(m) + 0.5772156649015329) - 2 * m / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+@lru_cache(maxsize=4)
+def _cuts(trees: int, depth: int, dims: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Feature and cut of every node of every tree, by level. A cut is drawn over the whole room of its node, which starts as the unit cube."""
+    rng = np.random.default_rng(seed)
+    low, high = np.zeros((trees, 1, dims)), np.ones((trees, 1, dims))
+    out = []
+    for level in range(depth):
+        chosen = rng.integers(0, dims, (trees, 1 << level))
+        at = chosen[:, :, None]
+        lo, hi = np.take_along_axis(low, at, 2), np.take_along_axis(high, at, 2)
+        cut = lo + (hi - lo) * rng.random((trees, 1 << level, 1))
+        left, right = high.copy(), low.copy()
+        np.put_along_axis(left, at, cut, 2)
+        np.put_along_axis(right, at, cut, 2)
+        low = np.stack([low, right], axis=2).reshape(trees, 2 << level, dims)
+        high = np.stack([left, high], axis=2).reshape(trees, 2 << level, dims)
+        out.append((chosen.ravel().astype(np.intp), cut.ravel()))
+    return out
+
+
 class IsolationForest:
-    """trees trees on subsamples of rows (psi each), cut to depth log2(psi)."""
+    """trees trees, each filled with psi of the rows, without replacement; features lie between 0 and 1.
 
-    def __init__(self, rows: np.ndarray, trees: int = 32, psi: int = 128, seed: int = 0):
-        rng = np.random.default_rng(seed)
+    Cuts are drawn over the whole room of a node, not only over the part that its rows take up: where they lie does not depend on the rows, but where a tree ends does. A node with at most one row of the sample is a leaf; depth ends others, which count for the depth that their rows would still need. So a row beyond all rows of the sample is isolated as early as one that was drawn, a clean source has no high scores, and a score means the same for every source.
+    """
+
+    def __init__(self, rows: np.ndarray, trees: int = 64, psi: int = 128, depth: int = 8, seed: int = 0):
         n, dims = rows.shape
-        self.psi = psi = min(psi, n)
-        self.depth = depth = max(1, int(np.ceil(np.log2(max(psi, 2)))))
-        pick = np.argsort(rng.random((trees, n)), axis=1)[:, :psi] if n * trees <= 1_000_000 else rng.integers(0, n, (trees, psi))
-        x = rows[pick]
-        t = np.arange(trees)[:, None]
-        node = np.zeros((trees, psi), dtype=np.int64)
-        self.feature, self.cut = [], []
-        length = np.full((trees, 1), -1.0)
-        for level in range(depth):
-            width = 1 << level
-            flat = (t * width + node).ravel()
-            size = np.bincount(flat, minlength=trees * width)
-            low = np.full((trees * width, dims), np.inf)
-            high = np.full((trees * width, dims), -np.inf)
-            np.minimum.at(low, flat, x.reshape(-1, dims))
-            np.maximum.at(high, flat, x.reshape(-1, dims))
-            spread = high > low
-            chosen = np.argmax(np.where(spread, rng.random(spread.shape), -1.0), axis=1)
-            at = np.arange(trees * width)
-            lo, hi = low[at, chosen], high[at, chosen]
-            grows = spread.any(axis=1) & (length.ravel() < 0)
-            u = rng.random(trees * width)
-            with np.errstate(invalid="ignore"):
-                cut = np.where(grows, np.maximum(lo + (hi - lo) * u, np.nextafter(lo, np.inf)), np.inf)
-            ended = (length.ravel() < 0) & ~grows
-            length = np.where(ended, level + expected_path(size), length.ravel()).reshape(trees, width)
-            self.feature.append(chosen.reshape(trees, width))
-            self.cut.append(cut.reshape(trees, width))
-            node = 2 * node + (np.take_along_axis(x, self.feature[-1][t, node][:, :, None], 2)[:, :, 0] >= self.cut[-1][t, node])
-            length = np.repeat(length, 2, axis=1)
-        size = np.bincount((t * (1 << depth) + node).ravel(), minlength=trees << depth).reshape(trees, -1)
-        self.length = np.where(length < 0, depth + expected_path(size), length)
+        self.trees, self.depth, self.dims, self.norm = trees, depth, dims, float(expected_path(psi))
+        pick = np.argpartition(np.random.default_rng(seed).random((trees, n), dtype=np.float32), min(psi, n) - 1, axis=1)[:, :psi] if n > psi else np.broadcast_to(np.arange(n), (trees, n))
+        self.length = np.full((trees, 1), -1.0)
+        for level, node in enumerate(self._fall(rows.T[:, pick])):
+            if level:
+                self.length = np.repeat(self.length, 2, axis=1)
+            size = np.bincount((node + (np.arange(trees)[:, None] << level)).ravel(), minlength=trees << level).reshape(trees, -1)
+            ends = size <= 1 if level < depth else True
+            self.length = np.where((self.length < 0) & ends, level + expected_path(size) * (level == depth), self.length)
+        self.length = self.length.astype(np.float32)
+
+    def _fall(self, x: np.ndarray):
+        """Node of each row in each tree, (trees, rows), level by level; x is (dims, rows), or (dims, trees, rows) with rows of its own for each tree."""
+        m = x.shape[-1]
+        flat = np.ascontiguousarray(x).ravel()
+        t = np.arange(self.trees)[:, None]
+        stride = m * (self.trees if x.ndim == 3 else 1)
+        r = np.arange(m) + (t * m if x.ndim == 3 else 0)
+        node = np.zeros((self.trees, m), dtype=np.intp)
+        yield node
+        for level, (feature, cut) in enumerate(_cuts(self.trees, self.depth, self.dims, 0)):
+            at = node + (t << level)
+            node = 2 * node + (flat.take(feature.take(at) * stride + r) >= cut.take(at))
+            yield node
 
-    def score(self, rows: np.ndarray, chunk: int = 16384) -> np.ndarray:
-        """2 ** (-mean depth / expected depth) of each row: near 1 for rows that are isolated early, about 0.5 or less for ordinary ones."""
+    def score(self, rows: np.ndarray, chunk: int = 1024) -> np.ndarray:
+        """2 ** (-mean depth / expected depth) of each row: near 1 for rows that are isolated early, under 0.5 for ordinary ones."""
         out = np.empty(len(rows))
-        t = np.arange(self.length.shape[0])
-        norm = max(float(expected_path(self.psi)), 1e-9)
+        length, t = self.length.ravel(), np.arange(self.trees)[:, None]
         for i in range(0, len(rows), chunk):
-            x = rows[i : i + chunk]
-            r = np.arange(len(x))[:, None]
-            node = np.zeros((len(x), len(t)), dtype=np.int64)
-            for feature, cut in zip(self.feature, self.cut):
-                node = 2 * node + (x[r, feature[t, node]] >= cut[t, node])
-            out[i : i + chunk] = np.exp2(-self.length[t, node].mean(axis=1) / norm)
+            *_, node = self._fall(rows[i : i + chunk].T)
+            out[i : i + chunk] = np.exp2(-length.take(node + (t << self.depth)).mean(axis=0, dtype=np.float64) / self.norm)
         return out

@@ -16,16 +16,20 @@ from tidegrid.session import checkpointed, small_side
 
 #: Readings of one source that are judged together at most, about: a source with more is cut into periods of equal numbers of readings with a margin on both sides.
 PERIOD_READINGS = 20_000
-#: Forest: trees, rows per tree, and the score from which a reading is a candidate.
-TREES, PSI, CANDIDATE = 32, 128, 0.5
-#: Exact check: longest spike and shortest frozen stretch in readings; distance from the level, in units of the usual noise, of a spike; part of the usual noise within which a stretch counts as frozen.
-SPIKE_MAX, FROZEN_MIN, FAR, STILL = 9, 10, 9.0, 0.3
+#: Forest: trees, rows per tree, readings of a source they are drawn from, and the score from which a reading is a case unless its surroundings excuse it.
+TREES, PSI, SAMPLE, CASE = 64, 128, 4096, 0.5
+#: Features lie between 0 and 1, in this many steps; 0.5 stands for a level, and for a difference or distance from the season, of so many times the usual noise, and for a still stretch of so much evidence.
+STEPS, FAR, APART, EVIDENCE = 127, 9.0, 13.0, 9.5
+#: Extents: longest spike and shortest frozen stretch in readings; distance from the level, in units of the usual noise, at which a reading has left it; parts of the usual noise within which a stretch may be still, in order.
+SPIKE_MAX, FROZEN_MIN, LEFT, STILL = 9, 10, 4.0, (0.3, 0.42, 0.6)
+#: Readings before and after one that tell its level and the noise around it; smallest part of the noise that evidence tells apart.
+LEVEL_HALF, NOISE_HALF, STILLEST = 15, 64, 0.01
 #: Fewest readings of a source that tell what is usual for it.
 SHORTEST = 5
-#: A wider part, as rounding of a small noise needs it, for stretches of some more readings: by chance, ten readings keep within it too often.
-STILL_WIDE, FROZEN_WIDE = 0.42, 12
 #: For sources that usually repeat their value: part of the runs of equal values that are usual, and the number of sources that may have one longer run by chance in one of them.
 USUAL_RUNS, BY_CHANCE = 0.95, 100
+#: Part of that length from which a run of equal values is looked at.
+LONG = 0.7
 #: Decimals, and part of the value, down to which the values of a source are told apart.
 DECIMALS, RELATIVE = 6, 1e-6
 #: Off phases: least number; part of their usual distance by which a distance may differ from it, and part of the distances that must keep to this; number of distances to another phase, for gaps in the readings.
@@ -92,7 +96,7 @@ def _equal_runs(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Part:
-    """What a period tells about its source. runs: (start time, end time, readings, value) of its first and last run of equal values, the same one if there is no other. zero: (start time, end time, readings) of the runs of 0 between these. changes: differences of lively neighbours, those of runs of 0 left out, and with them. lengths: readings of the runs between the first and the last. steps: changes of the level, which spikes don't move. resolution: the least step that the values can show."""
+    """What a period tells about its source. runs: (start time, end time, readings, value) of its first and last run of equal values, the same one if there is no other. zero: (start time, end time, readings) of the runs of 0 between these. changes: differences of lively neighbours, those of runs of 0 left out, and with them. lengths: readings of the runs between the first and the last. steps: changes of the level, which spikes don't move. resolution: the least step that the values can show. readings: their number."""
 
     runs: list[tuple[int, int, int, float]]
     zero: np.ndarray
@@ -100,23 +104,24 @@ class Part:
     lengths: tuple[np.ndarray, np.ndarray]
     steps: tuple[np.ndarray, np.ndarray]
     resolution: float
+    readings: int
 
 
 @dataclass
 class Facts:
-    """What holds for a source as a whole. noise: usual noise; plenty: number of differences it comes from. phases: start and end time of the off phases, usual: their usual readings. long: start time, end time and readings of the runs of equal values that cross a border of periods. step: usual step between levels, at least the resolution of the values. longest: readings from which a run of equal values is longer than the source's other runs let expect."""
+    """What holds for a source as a whole. noise: usual noise. phases: start and end time of the off phases, usual: their usual readings. long: start time, end time and readings of the runs of equal values that cross a border of periods. step: usual step between levels, at least the resolution of the values. longest: readings from which a run of equal values is longer than the source's other runs let expect. readings: their number."""
 
     noise: float
-    plenty: int
     phases: np.ndarray
     usual: float
     long: np.ndarray
     step: float
     longest: float
+    readings: int
 
 
-def _part(ts: np.ndarray, value: np.ndarray, low: float, high: float, coarse: bool = False) -> Part:
-    """The facts of one period in order of time, without the margins; coarse: differences are rounded to 12 bits, which bounds how many are distinct."""
+def _part(ts: np.ndarray, value: np.ndarray, low: float, high: float) -> Part:
+    """The facts of one period in order of time, without the margins. Differences are rounded to 8 bits, which bounds how many are distinct."""
     _, at = _plausible(value, low, high)
     t, y = ts[at], value[at]
     starts, length = _equal_runs(y)
@@ -124,7 +129,7 @@ def _part(ts: np.ndarray, value: np.ndarray, low: float, high: float, coarse: bo
     lively = _lively(run)
     changes = []
     for flags in (lively & ~((y == 0.0) & (run >= 3)), lively):
-        changes.append(_counted(_rounded(np.abs(np.diff(y[flags])), coarse)))
+        changes.append(_counted(_rounded(np.abs(np.diff(y[flags])))))
     steps, resolution = np.zeros(0), np.inf
     if len(y) and min(map(_middle, changes)) == 0.0:
         level = _median(y, SPIKE_MAX)
@@ -134,7 +139,7 @@ def _part(ts: np.ndarray, value: np.ndarray, low: float, high: float, coarse: bo
     inner = np.arange(1, len(starts) - 1)
     lengths = _counted(length[inner])
     inner = inner[(y[starts[inner]] == 0.0) & (length[inner] >= 3)]
-    return Part(runs, np.column_stack([t[starts[inner]], t[ends[inner]], length[inner]]).astype(np.int64).reshape(-1, 3), tuple(changes), lengths, _counted(_rounded(steps[steps > 0], coarse)), resolution)
+    return Part(runs, np.column_stack([t[starts[inner]], t[ends[inner]], length[inner]]).astype(np.int64).reshape(-1, 3), tuple(changes), lengths, _counted(_rounded(steps[steps > 0])), resolution, len(ts))
 
 
 def _lively(run: np.ndarray) -> np.ndarray:
@@ -147,11 +152,9 @@ def _lively(run: np.ndarray) -> np.ndarray:
     return flags
 
 
-def _rounded(d: np.ndarray, coarse: bool) -> np.ndarray:
-    if not coarse:
-        return d
+def _rounded(d: np.ndarray) -> np.ndarray:
     mantissa, exponent = np.frexp(d)
-    return np.ldexp(np.round(mantissa * 4096) / 4096, exponent)
+    return np.ldexp(np.round(mantissa * 256) / 256, exponent)
 
 
 def _noise_of_few(y: np.ndarray) -> float:
@@ -202,7 +205,7 @@ def _facts(parts: list[Part]) -> Facts:
     lengths = _merged([*(p.lengths for p in parts), _counted(np.array([r[2] for r in runs], dtype=np.int64))])
     resolution = min(p.resolution for p in parts)
     step = max(steps, resolution) if np.isfinite(resolution) else steps
-    return Facts(_noise(changes), int(changes[1].sum()), phases, usual, np.array(long, dtype=np.int64).reshape(-1, 3), step, _longest(lengths))
+    return Facts(_noise(changes), phases, usual, np.array(long, dtype=np.int64).reshape(-1, 3), step, _longest(lengths), sum(p.readings for p in parts))
 
 
 def _phases(zero: np.ndarray) -> tuple[np.ndarray, float]:
@@ -261,87 +264,136 @@ def _still(y: np.ndarray, width: float, least: int) -> list[tuple[int, int]]:
     return out
 
 
-def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int = 0, facts: Facts | None = None) -> pd.DataFrame:
-    """score, kind of each reading of one source, or of a period of one whose facts are given, in order of time, kind being LIMIT, SPIKE, FROZEN or 0.
+@dataclass
+class View:
+    """What is there to judge in a row of readings. out: flags of those beyond the limits; at: positions of the others that are numbers. features: of these, between 0 and 1. once: flags of those that the forest may learn from. still: stretches that hardly vary, as [start, end) among them. rest: positions of those outside such stretches and off phases; unit: the noise that is usual around these."""
 
-    A reading outside [low, high] (a NaN limit is none) or infinite is LIMIT, by rule. NaN is never a case and takes no part. The rest get four features - distance from the rolling level, difference to the nearer neighbour, distance from the usual value at this time of day, length of the still stretch it lies in - and a score by a forest fitted on the source's own readings, where a still stretch or an off phase counts once, else a long one would make itself look normal. Readings that score CANDIDATE or more go to an exact check: a spike must leave and come back to the same level within SPIKE_MAX readings, a frozen stretch must last FROZEN_MIN readings, and values of 0 that come back at regular distances are off phases and not cases. Noise, off phases and runs of equal values are those of the whole source. A period that is noisier than its source is judged by its own noise. Where a period holds too few lively readings to fit a forest, though its source has them, the exact check alone decides on still stretches.
+    out: np.ndarray
+    at: np.ndarray
+    y: np.ndarray
+    features: np.ndarray
+    once: np.ndarray
+    still: list[tuple[int, int]]
+    rest: np.ndarray
+    unit: np.ndarray
 
-    A source whose neighbours mostly repeat their value - coarse steps, set points, counters - has no noise: there a stretch is still if its run of equal values is longer than the source's other runs let expect, and the unit of a spike is the usual step between levels, at least the resolution of the values. A source of fewer than FROZEN_MIN readings has no frozen stretch but may have spikes; fewer than SHORTEST don't tell what is usual, and only limits are judged.
-    """
-    facts = facts or _facts([_part(ts, value, low, high)])
-    n = len(value)
-    score, kind = np.zeros(n), np.zeros(n, dtype=np.int8)
+
+def _squashed(x: np.ndarray, middle: float) -> np.ndarray:
+    """x from 0 up as a number between 0 and 1, in STEPS steps, that is 0.5 at middle and changes most around it: usual values lie close together at 0, and what is far beyond middle close to 1."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        r = np.minimum(x / middle, 1e3) ** 4
+    return np.round(r / (1 + r) * STEPS) / STEPS
+
+
+def _view(ts: np.ndarray, value: np.ndarray, low: float, high: float, facts: Facts) -> View:
+    """The features of readings in order of time: distance from the level around them, difference to the nearer neighbour, distance from the values at this time the day before and after (the nearer one), all in units of the noise that is usual for the source and around them; and the evidence of the still stretch they lie in."""
     out, at = _plausible(value, low, high)
-    kind[out] = LIMIT
-    score[out] = 1.0
     t, y = ts[at], value[at]
-    if len(y) < SHORTEST:
-        return pd.DataFrame({"score": score, "kind": kind})
     starts, length = _equal_runs(y)
     off = _within(t, facts.phases) & (y == 0.0)
-    if len(facts.phases):  # the remains of a phase that lost readings
-        for s, k in zip(starts, length):
-            if y[s] == 0.0 and k < 3 and facts.usual >= 4 and (off[max(0, s - 2) : s].any() or off[s + k : s + k + 2].any() or s == 0 or s + k == len(y)):
-                off[s : s + k] = True
-    run = np.repeat(length, length)
-    for s, e, k in facts.long:
-        run[(t >= s) & (t <= e)] = k
-    lively = _lively(run) & ~off
-    d = np.abs(np.diff(y[lively]))
-    own_noise = _noise(_counted(d)) if len(d) >= PSI and facts.noise > 0.0 else 0.0
-    noise = max(facts.noise, own_noise)
-    varies = noise > 0.0
-    # a period that is all still has no noise of its own
-    unit = own_noise if own_noise > STILL_WIDE * facts.noise else facts.noise
+    if len(facts.phases) and facts.usual >= 4:  # the remains of a phase that lost readings
+        for i in np.flatnonzero((y[starts] == 0.0) & (length < 3)):
+            s, e = starts[i], starts[i] + length[i]
+            if s == 0 or e == len(y) or off[max(0, s - 2) : s].any() or off[e : e + 2].any():
+                off[s:e] = True
+    evidence = np.zeros(len(y))
+    still: list[tuple[int, int]] = []
     if len(y) < FROZEN_MIN:
-        unit = _noise_of_few(y)
-        still = []
-    elif not varies:  # the source usually repeats its value
-        unit = facts.step
-        still = [(s, e) for s, e in _runs(run >= facts.longest) for s, e in _equal_spans(y, s, e)]
-    else:
-        still = _still(y, STILL * noise, FROZEN_MIN)
-    for a, b in _still(y, STILL_WIDE * noise, FROZEN_WIDE) if varies else []:
-        if not any(a < e and s < b for s, e in still):
-            still.append((a, b))
-    still = sorted(r for r in still if not off[r[0] : r[1]].all())
-    calm = np.zeros(len(y), dtype=int)
-    for s, e in still:
-        calm[s:e] = e - s
-    rest = np.flatnonzero((calm == 0) & ~off)
-    far, unit = FAR * unit, unit or 1.0
-    level = np.zeros(len(y))
-    step = np.zeros(len(y))
-    if len(rest):
+        usual = _noise_of_few(y) if len(y) > 1 else 0.0
+    elif facts.noise > 0.0:
+        usual = facts.noise
+        for width in STILL:
+            for s, e in _still(y, width * usual, FROZEN_MIN):
+                if not any(a < e and s < b for a, b in still) and not off[s:e].all():
+                    still.append((s, e))
+                    evidence[s:e] = (e - s - 1) * np.log(1 / max(np.ptp(y[s:e]) / usual, STILLEST))
+    else:  # the source usually repeats its value
+        usual = facts.step
+        run = np.repeat(length, length)
+        for s, e, k in facts.long:
+            run[(t >= s) & (t <= e)] = k
+        for i in np.flatnonzero(run[starts] >= max(FROZEN_MIN, LONG * facts.longest)):
+            s, e = starts[i], starts[i] + length[i]
+            if not off[s:e].all():
+                still.append((s, e))
+                evidence[s:e] = EVIDENCE * run[s] / facts.longest
+    rest = np.flatnonzero((evidence == 0.0) & ~off)
+    unit = np.full(len(y), usual or 1.0)
+    level, step, season = np.zeros(len(y)), np.zeros(len(y)), np.zeros(len(y))
+    if len(rest) > 1:
         z = y[rest]
-        level[rest] = np.abs(z - _median(z, 15)) / unit
-        d = np.abs(np.diff(z)) / unit
-        step[rest] = np.maximum(np.concatenate([d, [0.0]]), np.concatenate([[0.0], d])) if len(d) else 0.0
-    hour = ((ts[at] % DAY_MS) * 24 // DAY_MS).astype(int)
-    order = np.argsort(hour, kind="stable")
-    first = np.searchsorted(hour[order], np.arange(25))
-    usual_at = np.array([np.median(y[order[a:b]]) if b > a else np.nan for a, b in zip(first[:-1], first[1:])])
-    season = np.where(off, 0.0, np.abs(y - usual_at[hour]) / unit)
-    cap = 1e6
-    features = np.column_stack([np.log1p(np.minimum(f, cap)) for f in (level, step, season, np.maximum(calm, 0))])
+        d = np.abs(np.diff(z))
+        if facts.noise > 0.0 and len(z) > 2 * NOISE_HALF:
+            around = _median(d, NOISE_HALF) * (1.4826 / np.sqrt(2))
+            unit[rest] = np.maximum(unit[rest], np.append(around, around[-1]))
+        level[rest] = np.abs(z - _median(z, LEVEL_HALF)) / unit[rest]
+        step[rest] = np.minimum(np.append(d, d[-1]), np.insert(d, 0, d[0])) / unit[rest]
+        tz = t[rest]
+        other = np.full((2, len(z)), np.inf)
+        for i, days in enumerate((-DAY_MS, DAY_MS)):
+            k = np.clip(np.searchsorted(tz, tz + days), 1, len(tz) - 1)
+            k -= tz + days - tz[k - 1] < tz[k] - tz - days
+            near = np.abs(tz[k] - tz - days) <= DAY_MS // 24
+            other[i, near] = np.abs(z - z[k])[near]
+        other = other.min(axis=0)
+        season[rest] = np.where(np.isfinite(other), other, 0.0) / unit[rest]
+    features = np.column_stack([_squashed(f, m) for f, m in ((level, FAR), (step, APART), (season, APART), (evidence, EVIDENCE))])
     once = np.ones(len(y), dtype=bool)
-    for s, e in [*still, *_runs(off)]:
+    for s, e in [*still, *_runs(off), *_runs(level > LEFT)]:
         once[s + 1 : e] = False
-    forest = IsolationForest(features[once], TREES, PSI, seed)
-    own = forest.score(features)
-    if once.sum() < PSI <= facts.plenty:
-        own[calm > 0] = np.maximum(own[calm > 0], CANDIDATE)
-    score[at] = own
-    candidate = own >= CANDIDATE
-    for s, e in still:
-        if candidate[s:e].mean() >= 0.5:
-            kind[at[s:e]] = FROZEN
-    if len(rest) and far > 0:
-        for k in _spikes(y[rest], candidate[rest], far):
-            kind[at[rest[k]]] = SPIKE
+    return View(out, at, y, features, once, still, rest, unit[rest])
+
+
+def _sample(ts: np.ndarray, v: View, readings: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and features of the readings from which a source's forest may be drawn: those with small hashes, about twice SAMPLE of all of the source's readings, so that periods choose apart what the whole source would choose."""
+    x = ts[v.at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    few = v.once & (x <= np.uint64(min(2**64 - 1, int(2**64 * min(1.0, 2 * SAMPLE / max(readings, 1))))))
+    return x[few], v.features[few]
+
+
+def _forest(hashes: np.ndarray, features: np.ndarray, seed: int) -> IsolationForest | None:
+    """The forest of a source: from the SAMPLE of the readings offered that have the least hashes; none if there are fewer than SHORTEST."""
+    if len(hashes) < SHORTEST:
+        return None
+    return IsolationForest(features[np.argsort(hashes, kind="stable")[:SAMPLE]], TREES, PSI, seed=seed)
+
+
+def judge(ts: np.ndarray, value: np.ndarray, low: float, high: float, seed: int = 0, facts: Facts | None = None, forest: IsolationForest | None = None) -> pd.DataFrame:
+    """score, kind of each reading of one source, or of a period of one whose facts and forest are given, in order of time, kind being LIMIT, SPIKE, FROZEN or 0.
+
+    A reading outside [low, high] (a NaN limit is none) or infinite is LIMIT, by rule. NaN is never a case and takes no part. The rest get the features of _view() and a score by a forest fitted on a sample of the source's own readings, in which a still stretch, an off phase or readings in a row that have left their level count once, else they would make each other look normal. A reading that scores CASE or more is unusual; which readings are cases follows from these alone, and what comes after only settles how far a case reaches and whether its surroundings excuse it: a still stretch is FROZEN if most of its readings are unusual, up to SPIKE_MAX readings that leave a level and come back to it are SPIKE if most of them are, while a lasting change of level and values of 0 that come back at regular distances are no cases. Noise, off phases, runs of equal values and forest are those of the whole source; where the readings around one are noisier than the source usually is, their noise counts.
+
+    A source whose neighbours mostly repeat their value - coarse steps, set points, counters - has no noise: there the evidence of a run of equal values is its length compared with what the source's other runs let expect, and the unit of distances is the usual step between levels, at least the resolution of the values. A source of fewer than FROZEN_MIN readings has no frozen stretch but may have spikes; fewer than SHORTEST, still stretches and off phases counting once, don't tell what is usual, and only limits are judged.
+    """
+    facts = facts or _facts([_part(ts, value, low, high)])
+    score, kind = np.zeros(len(value)), np.zeros(len(value), dtype=np.int8)
+    v = _view(ts, value, low, high, facts)
+    kind[v.out], score[v.out] = LIMIT, 1.0
+    if len(v.at) < SHORTEST:
+        return pd.DataFrame({"score": score, "kind": kind})
+    own = _scores(forest or _forest(*_sample(ts, v, facts.readings, seed), seed), v.features)
+    score[v.at] = own
+    unusual = own >= CASE
+    for s, e in v.still:
+        if unusual[s:e].mean() >= 0.5:
+            kind[v.at[s:e]] = FROZEN
+    if len(v.rest):
+        kind[v.at[v.rest[_spikes(v.y[v.rest], unusual[v.rest], LEFT * v.unit)]]] = SPIKE
     return pd.DataFrame({"score": score, "kind": kind})
 
 
+def _scores(forest: IsolationForest | None, features: np.ndarray) -> np.ndarray:
+    """Scores of rows of features, each distinct row being scored once; 0 without a forest."""
+    if forest is None:
+        return np.zeros(len(features))
+    code = np.round(features * STEPS).astype(np.int64) @ ((STEPS + 1) ** np.arange(features.shape[1]))
+    _, first, back = np.unique(code, return_index=True, return_inverse=True)
+    return forest.score(features[first])[back]
+
+
 def _within(t: np.ndarray, spans: np.ndarray) -> np.ndarray:
     """Flags of the times that lie in one of the spans (start, end), which are in order and apart."""
     if len(spans) == 0:
@@ -350,31 +402,28 @@ def _within(t: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return (i >= 0) & (t <= spans[i, 1])
 
 
-def _equal_spans(y: np.ndarray, s: int, e: int) -> list[tuple[int, int]]:
-    """[start, end) of the runs of equal values in y[s:e]."""
-    starts, length = _equal_runs(y[s:e])
-    return [(s + a, s + a + k) for a, k in zip(starts, length)]
-
-
-def _spikes(z: np.ndarray, candidate: np.ndarray, far: float) -> np.ndarray:
-    """Positions of candidates in up to SPIKE_MAX readings that all lie further than `far` from the level just before and just after, which are the same level."""
+def _spikes(z: np.ndarray, unusual: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Positions of up to SPIKE_MAX readings, most of them unusual, that all lie further than `left` from the level just before and just after, which are the same level. Only jumps to unusual readings are looked at."""
     hit = np.zeros(len(z), dtype=bool)
-    jumps = np.flatnonzero(np.abs(np.diff(z)) > 0.6 * far) + 1
+    d = np.abs(np.diff(z)) / left[1:]
+    jumps, large = (np.flatnonzero(d > 0.6 * least) + 1 for least in (1.0, FAR / LEFT))
+    ahead = np.concatenate([[0], np.cumsum(unusual)])
+    some = ahead[np.minimum(jumps + SPIKE_MAX, len(z))] > ahead[jumps]
     done = 0
-    for i in jumps:
+    for i in jumps[some]:
         if i < done:
             continue
         before = np.median(z[max(0, i - 5) : i])
         gap = np.abs(z[i : i + SPIKE_MAX] - before)
         for k in range(1, min(SPIKE_MAX, len(z) - i - 1) + 1):
             least = gap[:k].min()
-            if least <= far:
+            if least <= left[i]:
                 break
             after = np.median(z[i + k : i + k + 5])
-            if abs(z[i + k] - before) < 0.5 * least and abs(after - before) < 0.5 * least and np.abs(z[i : i + k] - after).min() > far:
-                if _returns(z, jumps, i, k, before):
+            if abs(z[i + k] - before) < 0.5 * least and abs(after - before) < 0.5 * least and np.abs(z[i : i + k] - after).min() > left[i]:
+                if _returns(z, large, i, k, before):
                     break
-                if candidate[i : i + k].any():
+                if unusual[i : i + k].mean() >= 0.5:
                     hit[i : i + k] = True
                 done = i + k
                 break
@@ -397,7 +446,7 @@ def judged_readings(samples: DataFrame) -> DataFrame:
 
     samples: series_ref, sample_ts, value, row_id, low_limit, high_limit; rows sent again at the same time are one reading, with the value that arrived first. Null values are left out, NaN stays as a reading without a case, an empty table gives no row.
 
-    Readings are written to the checkpoint folder once; a source's periods have equal numbers of readings, so that no group has more than PERIOD_READINGS readings of a source plus the margins, however many it has and however they are bunched. Each period has its own forest: what is normal for the source at that time. What is usual for the source as a whole - noise, off phases, runs of equal values over borders of periods - is gathered from all its periods first and handed to each.
+    Readings are written to the checkpoint folder once; a source's periods have equal numbers of readings, so that no group has more than PERIOD_READINGS readings of a source plus the margins, however many it has and however they are bunched. What is usual for the source as a whole - noise, off phases, runs of equal values over borders of periods - is gathered from all its periods first, then its forest is drawn from a sample of all its readings, and both are handed to each period: a reading is judged alike whether its source is cut or not, but for what margins don't reach.
     """
     once = (
         samples.where("series_ref is not null and sample_ts is not null and value is not null")
@@ -416,10 +465,13 @@ def judged_readings(samples: DataFrame) -> DataFrame:
     after = F.when((inside >= F.col("per") - F.col("margin")) & ((k + 1) * F.col("per") < F.col("n")), k + 1)
     rows = rows.withColumn("k", k)
     parts = rows.groupBy("series_ref", "k").applyInPandas(_part_group, "series_ref long, k long, t0 long, t1 long, part binary")
-    facts = parts.groupBy("series_ref").applyInPandas(_hand_out, "series_ref long, p long, facts binary")
+    facts = checkpointed(parts.groupBy("series_ref").applyInPandas(_hand_out, "series_ref long, p long, facts binary"))
     rows = rows.withColumn("p", F.explode(F.array_compact(F.array("k", near, after))))
     rows = rows.select("series_ref", "p", "sample_ts", "value", "low", "high", (F.col("p") == F.col("k")).alias("own"))
-    rows = whole.unionByName(rows).unionByName(facts, allowMissingColumns=True)  # the facts of a period are one more row of it
+    # The facts of a period are one more row of it, and so is the forest of its source.
+    offered = rows.unionByName(facts, allowMissingColumns=True).groupBy("series_ref", "p").applyInPandas(_sample_group, "series_ref long, hashes binary, features binary")
+    forests = offered.groupBy("series_ref").applyInPandas(_forest_group, "series_ref long, forest binary")
+    rows = whole.unionByName(rows).unionByName(facts.join(forests, "series_ref"), allowMissingColumns=True)
     # By bytes alone the readings would be put into few tasks, but judging them takes long.
     tasks = max(once.sparkSession.sparkContext.defaultParallelism, -(-once.count() // (2 * PERIOD_READINGS)))
     found = rows.repartition(tasks, "series_ref", "p").groupBy("series_ref", "p").applyInPandas(_judge_group, "series_ref long, sample_ts long, value double, score double, code byte")
@@ -446,7 +498,7 @@ def _in_order(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
 
 def _part_group(g: pd.DataFrame) -> pd.DataFrame:
     ts, value, low, high = _in_order(g)
-    part = pickle.dumps(_part(ts, value, low, high, coarse=True))
+    part = pickle.dumps(_part(ts, value, low, high))
     return pd.DataFrame({"series_ref": [int(g["series_ref"].iloc[0])], "k": [int(g["k"].iloc[0])], "t0": [ts[0]], "t1": [ts[-1]], "part": [part]})
 
 
@@ -463,13 +515,41 @@ def _hand_out(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"series_ref": g["series_ref"].to_numpy(), "p": g["k"].to_numpy(), "facts": out})
 
 
-def _judge_group(g: pd.DataFrame) -> pd.DataFrame:
+def _seed(ref: int) -> int:
+    return ref * 1_000_003 % (1 << 32)
+
+
+def _apart(g: pd.DataFrame) -> tuple[pd.DataFrame, pd.Series | None]:
+    """The readings of a group in order of time, and the row with its facts."""
     given = g["facts"].notna()
-    facts = pickle.loads(g["facts"][given].iloc[0]) if given.any() else None
-    g = g[~given].sort_values("sample_ts", kind="stable")
+    return g[~given].sort_values("sample_ts", kind="stable"), g[given].iloc[0] if given.any() else None
+
+
+def _sample_group(g: pd.DataFrame) -> pd.DataFrame:
+    """What a period offers to its source's forest, without its margins."""
+    g, given = _apart(g)
+    facts, ref = pickle.loads(given["facts"]), int(given["series_ref"])
+    ts, value, low, high = _in_order(g)
+    v = _view(ts, value, low, high, facts)
+    v.once &= g["own"].to_numpy(dtype=bool)[v.at]
+    hashes, features = _sample(ts, v, facts.readings, _seed(ref))
+    return pd.DataFrame({"series_ref": [ref], "hashes": [hashes.tobytes()], "features": [np.round(features * STEPS).astype(np.uint8).tobytes()]})
+
+
+def _forest_group(g: pd.DataFrame) -> pd.DataFrame:
+    """The forest of a source, from what all its periods offer."""
+    ref = int(g["series_ref"].iloc[0])
+    hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in g["hashes"]])
+    features = np.concatenate([np.frombuffer(x, np.uint8) for x in g["features"]]).reshape(len(hashes), -1) / STEPS
+    return pd.DataFrame({"series_ref": [ref], "forest": [pickle.dumps(_forest(hashes, features, _seed(ref)))]})
+
+
+def _judge_group(g: pd.DataFrame) -> pd.DataFrame:
+    g, given = _apart(g)
+    facts, forest = (None, None) if given is None else (pickle.loads(given["facts"]), pickle.loads(given["forest"]))
     ts, value, low, high = _in_order(g)
     ref = int(g["series_ref"].iloc[0])
-    found = judge(ts, value, low, high, seed=(ref * 1_000_003 + int(g["p"].iloc[0])) % (1 << 32), facts=facts)
+    found = judge(ts, value, low, high, _seed(ref), facts, forest)
     found.insert(0, "series_ref", ref)
     found.insert(1, "sample_ts", ts)
     found.insert(2, "value", value)
