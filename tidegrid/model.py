@@ -18,12 +18,13 @@ class SeriesFrame:
 
     A series in meta without points is an empty series. Stages on values touch only points and stages on labels only meta, so label maps never travel with samples.
 
-    step: the one step of all series, if known. tags: the label names, if all series have exactly these. single: there is at most one series. live: every series of meta is known to exist; else those that never had a sample still have to be taken out (see alive). order: meta columns with True for ascending, if the series are sorted.
+    step: the one step of all series, if there is one; steps: those that series may have where there are several. tags: the label names, if all series have exactly these. single: there is at most one series. live: every series of meta is known to exist; else those that never had a sample still have to be taken out (see alive). order: meta columns with True for ascending, if the series are sorted.
     """
 
     points: DataFrame
     meta: DataFrame
     step: int | None = None
+    steps: frozenset[int] = frozenset()
     tags: tuple[str, ...] | None = None
     single: bool = False
     live: bool = False
@@ -47,6 +48,13 @@ class SeriesFrame:
             return self
         return replace(self, meta=self.meta.join(self.points.select("sid").distinct(), "sid", "left_semi"), live=True)
 
+    def of_step(self, step: int) -> "SeriesFrame":
+        """Only the series of one step."""
+        if self.step is not None:
+            return self
+        meta = self.meta.where(F.col("g_step") == step)
+        return replace(self, points=self.points.join(meta.select("sid"), "sid", "left_semi"), meta=meta, step=step, steps=frozenset())
+
     def keep(self, series: DataFrame) -> "SeriesFrame":
         """Only the series whose sid is in series."""
         ids = series.select("sid")

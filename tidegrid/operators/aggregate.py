@@ -17,7 +17,6 @@ AGGREGATES = {
     "multiply": lambda v: F.product(v),
     "range": lambda v: F.max(v) - F.min(v),
 }
-CONSOLIDATIONS = {"avg": F.avg, "sum": F.sum, "max": F.max, "min": F.min}
 
 
 def _groups(f: SeriesFrame, tags: list[str]) -> tuple[DataFrame | None, DataFrame]:
@@ -51,16 +50,6 @@ def uniform(f: SeriesFrame, tags: list[str]) -> SeriesFrame:
     return replace(f, points=p.where("value is not null and ts <= top").select("sid", "ts", "value"), meta=meta)
 
 
-def regrid(f: SeriesFrame, step: int, how: str = "avg") -> SeriesFrame:
-    """Each series on cells of step from its own g_min."""
-    p = f.points.join(f.meta.select("sid", "g_min"), "sid")
-    cell = F.col("g_min") + F.floor((F.col("ts") - F.col("g_min")) / F.lit(step)) * step
-    agg = F.max_by(clean(), "ts") if how == "last" else CONSOLIDATIONS[how](clean())
-    p = p.groupBy("sid", cell.cast("long").alias("ts")).agg(agg.alias("value")).where("value is not null")
-    end = F.col("g_min") + F.floor((F.col("g_max") - F.col("g_min")) / F.lit(step)) * step
-    return replace(f.alive(), points=p, meta=f.alive().meta.withColumns({"g_max": end.cast("long"), "g_step": F.lit(step).cast("long")}), step=step)
-
-
 def aggregate(f: SeriesFrame, how: str, tags: list[str] = ()) -> SeriesFrame:
     """One series per combination of tags (one in all without tags); NaN is skipped, a point without any other value has no sample. Series that lack a tag are left out. Partial sums are built before the shuffle, so a group of any size costs one row per task and grid point."""
     tags = list(dict.fromkeys(tags))
@@ -69,7 +58,7 @@ def aggregate(f: SeriesFrame, how: str, tags: list[str] = ()) -> SeriesFrame:
     f = uniform(f, tags)
     members, meta = _groups(f, tags)
     points = _of_group(f.points, members).groupBy("gid", "ts").agg(AGGREGATES[how](clean()).alias("value")).where("value is not null")
-    return SeriesFrame(points.select(F.col("gid").alias("sid"), "ts", "value"), meta, step=f.step, tags=tuple(tags), single=not tags)
+    return SeriesFrame(points.select(F.col("gid").alias("sid"), "ts", "value"), meta, step=f.step, steps=f.steps, tags=tuple(tags), single=not tags)
 
 
 def count(f: SeriesFrame, tags: list[str] = ()) -> SeriesFrame:
@@ -80,7 +69,7 @@ def count(f: SeriesFrame, tags: list[str] = ()) -> SeriesFrame:
     n = f.meta.agg(F.count(F.lit(1)).alias("n")).withColumn("gid", F.lit("g")) if members is None else members.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
     sized = meta.join(n.withColumnRenamed("gid", "sid"), "sid")
     points = sized.select("sid", F.explode(F.sequence("g_min", "g_max", "g_step")).alias("ts"), F.col("n").cast("double").alias("value"))
-    return SeriesFrame(points, meta, step=f.step, tags=tuple(tags), single=not tags, live=True)
+    return SeriesFrame(points, meta, step=f.step, steps=f.steps, tags=tuple(tags), single=not tags, live=True)
 
 
 def _ranked(points: DataFrame) -> DataFrame:
@@ -113,7 +102,7 @@ def percentile_of_series(f: SeriesFrame, percentiles: list[float], tags: list[st
     points = wide.select("gid", "ts", F.explode(pairs).alias("x")).select(F.concat("gid", F.lit("\u0001"), "x.p").alias("sid"), "ts", F.col("x.value").alias("value"))
     meta = meta.withColumn("p", F.explode(F.array(*[F.lit(n) for n in name])))
     meta = meta.select(F.concat("sid", F.lit("\u0001"), "p").alias("sid"), set_label(F.col("labels"), "__percentile", F.col("p")).alias("labels"), "alias", "g_min", "g_max", "g_step")
-    return SeriesFrame(points.where("value is not null"), meta, step=f.step, tags=(*tags, "__percentile"))
+    return SeriesFrame(points.where("value is not null"), meta, step=f.step, steps=f.steps, tags=(*tags, "__percentile"))
 
 
 _UNIT_MS = {"ns": 1e-6, "us": 1e-3, "µs": 1e-3, "ms": 1.0, "s": 1e3, "m": 6e4, "h": 3.6e6}
@@ -147,4 +136,4 @@ def histogram_percentile(f: SeriesFrame, id_tag: str, range_tag: str, percentile
     entries = F.transform(F.filter(F.split("gid", "\u0002"), lambda x: x != ""), lambda x: F.struct(F.split(x, "\u0001")[0].alias("key"), F.split(x, "\u0001")[1].alias("value")))
     g = g.withColumn("p", F.explode(F.array(*[F.lit(n) for n in name])))
     meta = g.select(F.concat("gid", F.lit("\u0001"), "p").alias("sid"), set_label(F.map_from_entries(entries), "histogramPercentile", F.col("p")).alias("labels"), F.lit(None).cast("string").alias("alias"), "g_min", "g_max", "g_step")
-    return SeriesFrame(points.where("value is not null"), meta, step=f.step)
+    return SeriesFrame(points.where("value is not null"), meta, step=f.step, steps=f.steps)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def remove_empty(f: SeriesFrame) -> SeriesFrame:
 
 def _where(f: SeriesFrame, keep: Column) -> SeriesFrame:
     chosen = f.meta.where(keep)
-    return f.with_meta(chosen).__class__(points=f.points.join(chosen.select("sid"), "sid", "left_semi"), meta=chosen, step=f.step, tags=f.tags, single=f.single, live=f.live, order=f.order)
+    return replace(f, points=f.points.join(chosen.select("sid"), "sid", "left_semi"), meta=chosen)
 
 
 def exclude_by_tag(f: SeriesFrame, tag: str, patterns: list[str]) -> SeriesFrame:

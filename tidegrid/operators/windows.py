@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,17 +17,22 @@ MOVING = ("sum", "avg", "min", "max", "median")
 YEAR_ONE = -62_135_596_800_000
 
 
-def _steps(f: SeriesFrame) -> int:
-    if f.step is None:
-        raise ValueError("this function needs series of one step")
-    return f.step
+def _by_step(f: SeriesFrame, run) -> SeriesFrame:
+    """run over the series of each step, which gives a frame of them; a window of so many ms has another number of points for each."""
+    if f.step is not None:
+        return run(f)
+    f = f.alive()
+    points = [run(f.of_step(s)).points for s in sorted(f.steps)]
+    return f.with_points(reduce(DataFrame.unionByName, points))
 
 
 def moving(f: SeriesFrame, ms: int, how: str) -> SeriesFrame:
-    """how over the ms before each grid point, itself excluded; missing and NaN are skipped, an empty window gives no sample. median is the lower one."""
+    """how over the ms before each grid point, itself excluded, in steps of the series' own grid; missing and NaN are skipped, an empty window gives no sample. median is the lower one."""
     if how not in MOVING:
         raise ValueError(f"moving: unknown function {how}")
-    step = _steps(f)
+    if f.step is None:
+        return _by_step(f, lambda g: moving(g, ms, how))
+    step = f.step
     if ms < step:
         raise ValueError("moving: the window is shorter than the step")
     n = ms // step
@@ -93,7 +99,9 @@ def per_second(f: SeriesFrame) -> SeriesFrame:
 
 def per_second_rate(f: SeriesFrame, ms: int, unit: float = 1000.0) -> SeriesFrame:
     """Counter rate: growth since the sample before (the value itself after a reset), spread back over the gap if that is at most ms, then averaged over the ms before each point where all its slots have a rate. NaN counts as missing."""
-    step = _steps(f)
+    if f.step is None:
+        return _by_step(f, lambda g: per_second_rate(g, ms, unit))
+    step = f.step
     if ms <= 0 or ms % step:
         raise ValueError("perSecondRate: the duration must be a multiple of the step")
     n = ms // step
@@ -147,7 +155,7 @@ def bucket_start(ts, interval: int, reference: int):
 
 def summarize(f: SeriesFrame, ms: int, how: str = "sum", start: int | None = None) -> SeriesFrame:
     """Buckets of ms, aligned to start or, without one, to the year 1; time is the bucket's start, an empty bucket gives no sample. how: sum, avg, min, max, last, stddev (of a sample; 0 for one value) or pNN (nearest rank)."""
-    if f.step is not None and ms < f.step:
+    if ms < (f.step if f.step is not None else max(f.steps, default=0)):
         raise ValueError("summarize: the interval is shorter than the step")
     ref = YEAR_ONE if start is None else start
     p = f.points.where(~F.isnan("value")).withColumn("b", bucket_start("ts", ms, ref))
@@ -164,4 +172,4 @@ def summarize(f: SeriesFrame, ms: int, how: str = "sum", start: int | None = Non
             raise ValueError(f"summarize: unknown function {how}")
         p = p.groupBy("sid", F.col("b").alias("ts")).agg(fns[how]().alias("value"))
     meta = f.meta.withColumns({"g_min": bucket_start("g_min", ms, ref), "g_max": bucket_start("g_max", ms, ref), "g_step": F.lit(ms).cast("long")})
-    return replace(f.with_points(p, step=ms), meta=meta if f.live else meta.join(f.alive().meta.select("sid"), "sid", "left_semi"))
+    return replace(f.with_points(p, step=ms, steps=frozenset()), meta=meta if f.live else meta.join(f.alive().meta.select("sid"), "sid", "left_semi"))

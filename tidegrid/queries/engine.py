@@ -88,6 +88,25 @@ z AS (SELECT *, first_value(CASE WHEN pt IS NULL AND v IS NOT NULL THEN 'nan'::D
 w AS (SELECT {k}, ts, avg(CASE WHEN NOT isnan(r) THEN r END) OVER (PARTITION BY {k} ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS m, count(CASE WHEN NOT isnan(r) THEN r END) OVER (PARTITION BY {k} ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS c FROM z)"""
 _TYPES = f"SELECT t.event_type, g.ts, b.v FROM (SELECT DISTINCT event_type FROM bytype) t CROSS JOIN (SELECT unnest(generate_series({START}, {LAST}, {STEP})) AS ts) g LEFT JOIN bytype b USING (event_type, ts)"
 
+H12, H18, H36 = 12 * HOUR, 18 * HOUR, 36 * HOUR
+_MIXED = "(fetch name:events event_type:click | summarize 12h sum) | (fetch name:events event_type:purchase)"
+_RIGHT = "(fetch name:events | summarize 18h avg true | sum)"
+
+
+def _cell(step: int) -> str:
+    return f"{START} + (ts - {START}) // {step} * {step}"
+
+
+#: mix: click in steps of 12 h, purchase of 6 h; r18: one series in steps of 18 h.
+_TWO_STEPS = f"""x AS (SELECT event_type, user_id, {_cell(H12)} AS ts, sum(v) AS v FROM pts WHERE event_type = 'click' GROUP BY ALL),
+    mix AS (SELECT * FROM x UNION ALL SELECT event_type, user_id, ts, v FROM pts WHERE event_type = 'purchase'),
+    r18 AS (SELECT ts, sum(v) AS v FROM (SELECT event_type, user_id, {_cell(H18)} AS ts, avg(v) AS v FROM pts GROUP BY ALL) GROUP BY ts)"""
+
+
+def _at(step: int, of: str, keys: str = "event_type, user_id, ") -> str:
+    return f"(SELECT {keys}{_cell(step)} AS ts, avg(v) AS v FROM {of} GROUP BY ALL)"
+
+
 #: name -> (query, label columns, SQL, options of the result)
 _CASES: dict[str, tuple] = {
     "m3_fetch": ("fetch name:events", TAGS, _map("v"), {}),
@@ -162,6 +181,13 @@ _CASES: dict[str, tuple] = {
     "m3_show_tags": ("fetch name:events | showTags", TAGS, _sql("SELECT event_type, user_id, 'event_type:' || event_type || ' name:events type:gauge user_id:' || user_id AS alias, ts, round(v, 6) AS value FROM pts"), {"alias": True}),
     "m3_tag_sub": ('fetch name:events | tagSub event_type "^(.)(.*)$" "\\1-$2"', TAGS, _sql("SELECT event_type[1] || '-' || event_type[2:] AS event_type, user_id, ts, round(v, 6) AS value FROM pts"), {}),
     "m3_map_key": ("fetch name:events | mapKey user_id account", ["event_type", "account"], _sql("SELECT event_type, user_id AS account, ts, round(v, 6) AS value FROM pts"), {}),
+    "m3_sum_mixed_steps": (f"{_MIXED} | sum", [], _sql(f"{_TWO_STEPS} SELECT ts, round(sum(v), 6) AS value FROM {_at(H12, 'mix')} GROUP BY ts"), {}),
+    "m3_as_percent_mixed_steps": (f"{_MIXED} | asPercent{_RIGHT}", TAGS, _sql(f"{_TWO_STEPS} SELECT event_type, user_id, ts, round(l.v / r.v * 100, 6) AS value FROM {_at(H36, 'mix')} l JOIN {_at(H36, 'r18', '')} r USING (ts)"), {}),
+    "m3_divide_mixed_steps": (f"{_MIXED} | divide{_RIGHT}", TAGS, _sql(f"""{_TWO_STEPS} SELECT event_type, user_id, ts, round(l.v / r.v, 9) AS value FROM {_at(H36, "(FROM mix WHERE event_type = 'click')")} l JOIN {_at(H36, 'r18', '')} r USING (ts)
+        UNION ALL SELECT event_type, user_id, ts, round(l.v / r.v, 9) FROM {_at(H18, "(FROM mix WHERE event_type = 'purchase')")} l JOIN r18 r USING (ts)"""), {"digits": 9}),
+    "m3_moving_mixed_steps": (f"{_MIXED} | moving 1d sum", TAGS, _sql(f"""{_TWO_STEPS}, every AS (SELECT event_type, user_id, unnest(generate_series({START}, {LAST}, CASE event_type WHEN 'click' THEN {H12} ELSE {STEP} END)) AS ts FROM ser WHERE event_type IN ('click', 'purchase')),
+        y AS (SELECT event_type, user_id, ts, CASE event_type WHEN 'click' THEN sum(v) OVER ({_S} ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) ELSE sum(v) OVER ({_S} ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) END AS m FROM every LEFT JOIN mix USING (event_type, user_id, ts))
+        SELECT event_type, user_id, ts, round(m, 6) AS value FROM y WHERE m IS NOT NULL"""), {}),
     "m3_mock_fetch": ("mockFetch 1,2,nan,4 name:mock env:test | scale 2", ["name", "env"], f"SELECT 'mock' AS name, 'test' AS env, {START} + i * {STEP} AS ts, v AS value FROM (VALUES (0, 2.0::DOUBLE), (1, 4.0), (3, 8.0)) x(i, v)", {}),
 }
 
