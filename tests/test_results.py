@@ -12,6 +12,7 @@ from tidegrid.operators.order import ranked, sort_series
 from tidegrid.plans import m3
 from tidegrid.plans.lower import Engine, register_stage, table
 from tidegrid.plans.nodes import Node
+from tidegrid.session import small_side
 from tidegrid.sources.output import explain, matrix, read_blocks, response, write_blocks
 from tidegrid.sources.scan import DocumentSource, Matchers, TableSource, UnionSource, label_statistics, label_values
 
@@ -103,3 +104,75 @@ def test_blocks_round_trip(spark, tmp_path):
     assert sorted(r["ts"] for r in got.collect()) == [7_199_999, 7_200_000]
     assert "PartitionFilters: [isnotnull(block_start" in got._jdf.queryExecution().toString()
     assert not any(math.isnan(r["value"]) for r in got.collect())
+
+
+def mixed(spark, query, end=3_600_000):
+    rows = [("a", "x", t * 60_000, float(t + 1), t) for t in range(12)] + [("b", "x", t * 60_000, 100.0, t) for t in range(12)] + [("c", "x", t * 60_000, 6.0, t) for t in range(12)]
+    return {(r["name"], r["ts"] // 60_000): r["value"] for r in table(Engine(spark, source(spark, rows), 0, 12 * 60_000, 60_000).m3(query), ["name"]).collect()}
+
+
+def test_series_of_different_steps(spark):
+    left = "(fetch name:a | summarize 2m sum) | (fetch name:b)"
+    third = "(fetch name:c | summarize 3m sum)"  # 18 in every cell
+    got = mixed(spark, f"{left} | divide{third}")
+    # a against c on 6 minutes, b against c on 3 minutes
+    assert got == {("a", 0): round((3 + 7 + 11) / 3 / 18, 6), ("a", 6): round((15 + 19 + 23) / 3 / 18, 6), **{("b", t): round(100 / 18, 6) for t in (0, 3, 6, 9)}}
+    got = mixed(spark, f"{left} | asPercent{third}")
+    assert got == {("a", 0): round(7 / 18 * 100, 6), ("a", 6): round(19 / 18 * 100, 6), ("b", 0): round(10000 / 18, 6), ("b", 6): round(10000 / 18, 6)}
+    got = mixed(spark, f"{left} | moving 4m sum")
+    assert got["a", 4] == 3 + 7 and got["a", 2] == 3 and got["b", 5] == 400 and got["b", 1] == 100 and ("a", 3) not in got
+    got = mixed(spark, f"{left} | perSecondRate 4m")
+    assert got["a", 6] == round(4 / 120, 6) and got["b", 6] == 0
+    assert mixed(spark, f"{left} | divide{third} | moving 6m max")["a", 6] == round(7 / 18, 6)
+
+
+def test_tag_sub_takes_numbered_groups_from_the_first_match(spark):
+    def sub(value, search, to):
+        f = Engine(spark, source(spark, [("m", value, 0, 1.0, 0)]), 0, 10, 10).m3(f'fetch name:m | tagSub zone "{search}" "{to}"')
+        return f.meta.select(F.col("labels")["zone"]).head()[0]
+
+    assert sub("ab1cd2", "([a-z]+)([0-9])", r"\\1-") == "ab-ab-"
+    assert sub("ab1cd2", "([a-z]+)([0-9])", "$1-") == "ab-cd-"
+    assert sub("a$1b", "(a.*)b", r"\\1c") == "a$1c" and sub("xyz", "(q)", r"\\1") == "xyz"
+    with pytest.raises(ValueError):
+        sub("ab", "a", r"\\1")
+
+
+def test_regular_expressions_belong_to_their_matcher(spark):
+    rows = [("x1", "x.*", 0, 1.0, 0), ("x1", "x2", 0, 2.0, 1), ("y", "x.*", 0, 4.0, 2)]
+    f = Engine(spark, source(spark, rows), 0, 10, 10).run(promql.plan('{name=~"x.*",zone="x.*"}'))
+    assert [r["value"] for r in f.points.collect()] == [1.0]
+    assert promql.plan('m{a="x"}').key() != promql.plan('m{a=~"x"}').key()
+
+
+def test_braces_must_come_in_pairs():
+    for bad in ("fetch name:{a,b", "fetch name:a}b{", "fetch name:{a,{b}"):
+        with pytest.raises(ValueError):
+            m3.plan(bad)
+
+
+def histogram(spark, buckets, query="histogramPercentile id zone 50"):
+    rows = [(str(i), b, 0, float(v), i) for i, (b, v) in enumerate(buckets)]
+    f = Engine(spark, source(spark, rows), 0, 10, 10).m3(f"fetch name:* | mapKey name id | {query}")
+    return {r["histogramPercentile"]: r["value"] for r in table(f, ["histogramPercentile"]).collect()}
+
+
+def test_histogram_buckets(spark):
+    assert histogram(spark, [("0-1m30s", 1), ("1m30s-2h", 3), ("2h-infinity", 0)]) == {"p50": 7_200_000.0}
+    assert histogram(spark, [("0-500us", 5), ("500us-1ms", 1)]) == {"p50": 0.5}
+    assert histogram(spark, [("-20--10", 1), ("-10-1e-3", 1), ("1e-3-+Inf", 8)], "histogramPercentile id zone 20 5 20 99") == {"p5": -10.0, "p20": 0.001, "p99": 0.001}
+    for bad in ("histogramPercentile id zone 101", "histogramPercentile id zone -1", "histogramPercentile id zone"):
+        with pytest.raises(ValueError):
+            m3.plan(f"fetch name:m | {bad}")
+    with pytest.raises(Exception, match="invalid bucket range"):
+        histogram(spark, [("ten-20", 1)])
+    with pytest.raises(Exception, match="two series of one bucket"):
+        f = Engine(spark, source(spark, [("1", "0-5", 0, 1.0, 0)]), 0, 10, 10).m3("(fetch name:1) | (fetch name:1) | mapKey name id | histogramPercentile id zone 50")
+        f.points.collect()
+
+
+def test_a_broadcast_needs_few_rows_and_little_text(spark):
+    hinted = lambda df, **kw: "hint" in small_side(df, **kw)._jdf.queryExecution().logical().toString().lower()
+    df = spark.range(10).select("id", F.repeat(F.lit("é"), 50).alias("t"))
+    assert hinted(df, max_bytes=1000) and not hinted(df, max_bytes=999) and not hinted(df, max_rows=9)
+    assert not hinted(df.withColumn("m", F.create_map("t", "t")))

@@ -52,3 +52,13 @@ def test_chunks_close_with_the_watermark(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r["chunk_start"], r["n"], r["first"], r["last"]) for r in spark.table("chunks").collect())
     assert got == [(0, 2, 1.0, 5.0), (20 * MIN, 1, 3.0, 3.0)]
+
+
+def test_compaction_leaves_other_blocks_of_its_target(spark, tmp_path):
+    src, out = str(tmp_path / "blocks"), str(tmp_path / "compact")
+    rows = [("a", t * MIN, float(t), t, t * MIN // ingest.BLOCK * ingest.BLOCK) for t in (0, 0, 130, 250)]
+    spark.createDataFrame(rows, "series_key string, ts long, value double, seq long, block_start long").write.partitionBy("block_start").parquet(src)
+    ingest.compact(spark, src, out, [0])
+    ingest.compact(spark, src, out, [120 * MIN])
+    ingest.compact(spark, src, out, [0])
+    assert sorted(r["ts"] for r in spark.read.parquet(out).collect()) == [0, 130 * MIN]

@@ -106,25 +106,37 @@ def percentile_of_series(f: SeriesFrame, percentiles: list[float], tags: list[st
 
 
 _UNIT_MS = {"ns": 1e-6, "us": 1e-3, "µs": 1e-3, "ms": 1.0, "s": 1e3, "m": 6e4, "h": 3.6e6}
+_DURATION = r"(-?[0-9]+(?:\.[0-9]+)?)(ns|us|µs|ms|s|m|h)"
+#: Low and high of `low-high`: the dash is the first one that is neither a sign nor part of an exponent.
+_RANGE = r"^\s*(-?(?:[^-]|(?<=[eE])-)+?)\s*(?<![eE])-\s*(.+?)\s*$"
 
 
 def _bound(text: Column) -> Column:
-    """A bucket bound: a number, a duration (in ms), or an infinity."""
-    n = F.regexp_extract(text, r"^(-?[0-9.]+(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double")
-    unit = F.regexp_extract(text, r"^-?[0-9.]+(?:[eE][+-]?[0-9]+)?([a-zµ]*)$", 1)
-    factor = F.coalesce(F.create_map(*[x for u, ms in _UNIT_MS.items() for x in (F.lit(u), F.lit(ms))])[unit], F.lit(1.0))
+    """A bucket bound: a number, a duration of one or more parts such as 1m30s (in ms), or an infinity; null if unreadable."""
+    text = F.replace(text, F.lit("__"), F.lit("µ"))
+    part = lambda i: F.regexp_extract_all(text, F.lit(_DURATION), F.lit(i))
+    unit = F.create_map(*[x for u, ms in _UNIT_MS.items() for x in (F.lit(u), F.lit(ms))])
+    parts = F.zip_with(part(1), part(2), lambda n, u: n.cast("double") * unit[u])
+    duration = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
     low = F.lower(text)
-    return F.when(low.rlike(r"^\+?inf(inity)?$"), F.lit(float("inf"))).when(low.rlike(r"^-inf(inity)?$"), F.lit(float("-inf"))).otherwise(n * factor)
+    infinite = F.when(low.rlike(r"^\+?inf(inity)?$"), F.lit(float("inf"))).when(low.rlike(r"^-inf(inity)?$"), F.lit(float("-inf")))
+    return F.coalesce(infinite, F.when(text.rlike(f"^(?:{_DURATION})+$"), duration), F.when(text.rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$"), text.try_cast("double")))
 
 
 def histogram_percentile(f: SeriesFrame, id_tag: str, range_tag: str, percentiles: list[float]) -> SeriesFrame:
-    """Percentiles of histograms whose buckets are series: per group of all other labels and per point, the upper bound of the first bucket, in order of bounds, at which the running count reaches p percent of the total. No sample where the total is 0; label histogramPercentile=pNN. Where the upper bound is infinite, the lower one stands for it. Series without the two tags are left out. Buckets of one bound at one point are added up."""
+    """Percentiles of histograms whose buckets are series: per group of all other labels and per point, the upper bound of the first bucket, in order of bounds, at which the running count reaches p percent of the total. No sample where the total is 0; label histogramPercentile=pNN. Where the upper bound is infinite, the lower one stands for it. Series without the two tags are left out. A range that can't be read, and two series of one bucket at one point, are errors. Each percentile comes once, in order."""
+    percentiles = sorted(set(percentiles))
     rng = F.col("labels")[range_tag]
-    low, high = _bound(F.regexp_extract(rng, r"^(-?[^-]+|-inf(?:inity)?)-(.+)$", 1)), _bound(F.regexp_extract(rng, r"^(-?[^-]+|-inf(?:inity)?)-(.+)$", 2))
+    low, high = (_bound(F.regexp_extract(rng, _RANGE, i)) for i in (1, 2))
     rest = F.map_filter("labels", lambda k, _: (k != id_tag) & (k != range_tag))
     m = f.meta.where(F.col("labels")[id_tag].isNotNull() & rng.isNotNull())
-    m = m.withColumns({"ub": F.when(F.isnan(high) | (high == float("inf")), low).otherwise(high), "rest": rest}).withColumn("gid", labels_id("rest")).where("ub is not null")
-    p = f.points.where(~F.isnan("value")).join(m.select("sid", "gid", "ub"), "sid").groupBy("gid", "ts", "ub").agg(F.sum("value").alias("value"))
+    bad = F.raise_error(F.concat(F.lit("histogramPercentile: invalid bucket range "), rng)).cast("double")
+    ub = F.when(rng.isin("infinity", "+Inf"), F.lit(float("inf"))).when(low.isNull() | high.isNull() | (high <= low), bad).otherwise(F.when(high == float("inf"), low).otherwise(high))
+    m = m.withColumns({"ub": ub, "rest": rest, "bucket": F.concat_ws("\u0001", F.col("labels")[id_tag], rng)}).withColumn("gid", labels_id("rest"))
+    p = f.points.where(~F.isnan("value")).join(m.select("sid", "gid", "ub", "bucket"), "sid").groupBy("gid", "ts", "ub")
+    p = p.agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"), F.min("bucket").alias("a"), F.max("bucket").alias("b"))
+    again = F.raise_error(F.concat(F.lit("histogramPercentile: two series of one bucket "), "a")).cast("double")
+    p = p.select("gid", "ts", "ub", F.when((F.col("n") > 1) & (F.col("a") == F.col("b")), again).otherwise(F.col("value")).alias("value"))
     w = Window.partitionBy("gid", "ts")
     p = p.withColumns({"total": F.sum("value").over(w), "cum": F.sum("value").over(w.orderBy("ub").rowsBetween(Window.unboundedPreceding, 0))}).where("total > 0")
     wide = p.groupBy("gid", "ts").agg(*[F.min(F.when(F.col("cum") >= F.col("total") * (q / 100.0), F.col("ub"))).alias(f"p{i}") for i, q in enumerate(percentiles)])

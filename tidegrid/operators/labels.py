@@ -34,9 +34,21 @@ def show_tags(f: SeriesFrame, keys: bool = True, tags: list[str] | None = None)
 
 
 def tag_sub(f: SeriesFrame, tag: str, search: str, replacement: str) -> SeriesFrame:
-    """Every match of search in tag replaced; groups are $1 or \\1. A series without the tag stays as it is."""
-    new = F.regexp_replace(F.col("labels")[tag], F.lit(search), F.lit(re.sub(r"\\(\d)", r"$\1", replacement)))
-    return f.with_meta(f.meta.withColumn("labels", F.when(F.col("labels")[tag].isNotNull(), set_label(F.col("labels"), tag, new)).otherwise(F.col("labels"))))
+    """Every match of search in tag replaced; $1 is a group of the match, \\1 of the first match in the tag, empty if it took no part. A group that search doesn't have is an error. A series without the tag stays as it is."""
+    old = F.col("labels")[tag]
+    try:
+        groups = re.compile(search).groups
+    except re.error:  # what only Java reads, Spark checks
+        groups = 99
+    parts, at = [], 0
+    for m in re.finditer(r"\\(\d+)", replacement):
+        if int(m[1]) > groups:
+            raise ValueError(f"tagSub: {search} has no group {m[1]}")
+        first = F.coalesce(F.regexp_extract(old, search, int(m[1])), F.lit(""))
+        parts += [F.lit(replacement[at : m.start()]), F.regexp_replace(first, F.lit(r"([\\$])"), F.lit(r"\\$1"))]
+        at = m.end()
+    new = F.regexp_replace(old, F.lit(search), F.concat(*parts, F.lit(replacement[at:])))
+    return f.with_meta(f.meta.withColumn("labels", F.when(old.isNotNull(), set_label(F.col("labels"), tag, new)).otherwise(F.col("labels"))))
 
 
 def map_key(f: SeriesFrame, old: str, new: str) -> SeriesFrame:

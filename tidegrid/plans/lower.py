@@ -61,7 +61,7 @@ class Engine:
     def _fresh(self, node: Node, start: int, end: int) -> SeriesFrame:
         a = dict(node.args)
         if node.op == "fetch":
-            return self.source.fetch(Matchers(a["must"], a["must_not"], a.get("regex", frozenset())), start, end, self.step)
+            return self.source.fetch(Matchers(a["must"], a["must_not"]), start, end, self.step)
         if node.op == "mock_fetch":
             return mock_fetch(self.spark, a["values"], a["labels"], start, end, self.step)
         if node.op in ("moving", "per_second_rate"):

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side may be broadcast. A row of the sides that ask for it stays under 200 bytes, so this bounds a broadcast at 50 MB.
-BROADCAST_ROWS = 250_000
+#: Rows, and bytes of text in them, up to which a side may be broadcast. Its other columns are numbers, so this bounds a broadcast at about 50 MB.
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 32_000_000
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tidegrid") -> SparkSession:
@@ -33,12 +36,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder that all executors share, and read from there: lineage ends here and survives lost executors.
 
-    The folder is the session's spark.checkpoint.dir. Only a local session without one gets a temporary folder; elsewhere the setting is required.
+    The folder is the session's spark.checkpoint.dir, which wins over one that the context has already. Only a local session without either gets a temporary folder; elsewhere one of them is required.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    at = sc.getCheckpointDir()
+    plain = lambda path: re.sub("^file:/+", "/", path).rstrip("/")
+    if at is None or folder is not None and not plain(at).startswith(plain(folder)):
         if folder is None:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
@@ -48,6 +53,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves that it has at most max_rows rows; else df, for a shuffled join that adaptive execution splits where keys are hot."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small_side(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """df with a broadcast hint if one job over it proves that it has at most max_rows rows and max_bytes bytes of text; else df, for a shuffled join that adaptive execution splits where keys are hot. A side with columns that are neither text nor of a fixed size is never broadcast."""
+    max_rows, max_bytes = BROADCAST_ROWS if max_rows is None else max_rows, BROADCAST_BYTES if max_bytes is None else max_bytes
+    if any(isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.BinaryType)) for f in df.schema):
+        return df
+    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    bytes_ = F.sum(reduce(lambda a, b: a + b, text, F.lit(0)).cast("long"))
+    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(bytes_, F.lit(0)).alias("b")).head()
+    return F.broadcast(df) if size["n"] <= max_rows and size["b"] <= max_bytes else df

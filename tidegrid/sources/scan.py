@@ -12,9 +12,16 @@ from tidegrid.model import SeriesFrame, grid_end
 from tidegrid.sources.documents import canonical_map, usable_samples
 
 
+class Regex(str):
+    """A value that is a whole-value regular expression."""
+
+    def __repr__(self) -> str:
+        return "~" + super().__repr__()
+
+
 @dataclass(frozen=True)
 class Matchers:
-    """For each label, the values one of which it must have (must) or must not have (must_not). `*` and `?` are wildcards; regex values are whole-value regular expressions instead."""
+    """For each label, the values one of which it must have (must) or must not have (must_not). `*` and `?` are wildcards, but not in a Regex; nor in values named in regex, which are regular expressions wherever they stand."""
 
     must: dict[str, tuple[str, ...]] = field(default_factory=dict)
     must_not: dict[str, tuple[str, ...]] = field(default_factory=dict)
@@ -30,10 +37,11 @@ class Matchers:
         return keep
 
     def _any(self, c: Column, values: tuple[str, ...]) -> Column:
-        exact = [v for v in values if v not in self.regex and not re.search(r"[*?]", v)]
+        pattern = lambda v: isinstance(v, Regex) or v in self.regex
+        exact = [v for v in values if not pattern(v) and not re.search(r"[*?]", v)]
         hit = c.isin(*exact) if exact else F.lit(False)
         for v in values:
-            if v in self.regex:
+            if pattern(v):
                 hit = hit | c.rlike(f"^(?:{v})$")
             elif v not in exact:
                 hit = hit | c.rlike("^" + "".join(".*" if x == "*" else "." if x == "?" else re.escape(x) for x in v) + "$")

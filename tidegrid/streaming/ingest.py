@@ -86,7 +86,9 @@ def retain(spark: SparkSession, path: str, retention_ms: int, now_ms: int | None
 
 
 def compact(spark: SparkSession, path: str, target: str, starts: list[int] | None = None, files: int = 1) -> None:
-    """Blocks rewritten to target with `files` files each, sorted by series and time, so that row groups can be skipped by both; of equal series and times the first to arrive stays. Blocks are written by all executors at once: rows are dealt out by block and a part of the series, and a block's files do not depend on the number of blocks."""
+    """Blocks rewritten to target with `files` files each, sorted by series and time, so that row groups can be skipped by both; of equal series and times the first to arrive stays. Blocks are written by all executors at once: rows are dealt out by block and a part of the series, and a block's files do not depend on the number of blocks. A block that target has already is replaced by what path holds of it; its other blocks stay. path and target must differ."""
+    if path.rstrip("/") == target.rstrip("/"):
+        raise ValueError("compact: path and target must differ")
     df = spark.read.parquet(path)
     if starts is not None:
         df = df.where(F.col("block_start").isin(*starts))
@@ -94,7 +96,7 @@ def compact(spark: SparkSession, path: str, target: str, starts: list[int] | Non
     cols = [c for c in df.columns if c not in ("series_key", "ts", "block_start")]
     once = df.groupBy("block_start", "series_key", "ts").agg(*[F.min_by(c, order).alias(c) for c in cols])
     part = F.pmod(F.xxhash64("series_key"), F.lit(files))
-    once.repartition("block_start", part).sortWithinPartitions("block_start", "series_key", "ts").select(*df.columns).write.mode("overwrite").partitionBy("block_start").parquet(target)
+    once.repartition("block_start", part).sortWithinPartitions("block_start", "series_key", "ts").select(*df.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("block_start").parquet(target)
 
 
 def lag_listener(record):
