@@ -46,7 +46,7 @@ class SeriesFrame:
         """Only series that have a sample, unless that is known already: a fetch never yields an empty series."""
         if self.live:
             return self
-        return replace(self, meta=self.meta.join(self.points.select("sid").distinct(), "sid", "left_semi"), live=True)
+        return replace(self, meta=self.meta.join(stored(self.points).select("sid").distinct(), "sid", "left_semi"), live=True)
 
     def of_step(self, step: int) -> "SeriesFrame":
         """Only the series of one step."""
@@ -67,6 +67,11 @@ class SeriesFrame:
         return grid.unionByName(f.points).repartition("sid").groupBy("sid", "ts").agg(F.max("value").alias("value"))
 
 
+def stored(points: DataFrame) -> DataFrame:
+    """points as they are, their values being looked at: what asks only for their series then shares an exchange with what asks for their values."""
+    return points.where("value is not null")
+
+
 def clean(value: str | Column = "value") -> Column:
     """Null for NaN, so that aggregates skip it."""
     c = F.col(value) if isinstance(value, str) else value

@@ -19,14 +19,22 @@ AGGREGATES = {
 }
 
 
+#: The group id of series that lack a tag and so belong to no group. They are told by their aggregates being null, not by a filter on the id: that would reach the scan, which could then not be shared with the samples'.
+NO_GROUP = "\u0000"
+
+
+def _in_group(c: str | Column) -> Column:
+    return F.when(F.col("gid") != NO_GROUP, c if isinstance(c, Column) else F.col(c))
+
+
 def _groups(f: SeriesFrame, tags: list[str]) -> tuple[DataFrame | None, DataFrame]:
-    """sid -> group id (None for one global group), and the meta of the groups. Series that lack a tag belong to no group."""
+    """sid -> group id (None for one global group), and the meta of the groups. Series that lack a tag have the id NO_GROUP, which has no meta."""
     if not tags:
         one = f.meta.agg(F.min("g_min").alias("g_min"), F.max("g_max").alias("g_max"), F.max("g_step").alias("g_step")).where("g_min is not null")
         return None, one.select(F.lit("g").alias("sid"), label_map([]).alias("labels"), F.lit(None).cast("string").alias("alias"), "g_min", "g_max", "g_step")
-    gid = label_key(tags)
-    members = f.meta.select("sid", gid.alias("gid"), "g_min", "g_max", "g_step", *[F.col("labels")[t].alias(t) for t in tags]).where("gid is not null")
-    meta = members.groupBy("gid", *[f"`{t}`" for t in tags]).agg(F.min("g_min").alias("g_min"), F.max("g_max").alias("g_max"), F.max("g_step").alias("g_step"))
+    gid = F.coalesce(label_key(tags), F.lit(NO_GROUP))
+    members = f.meta.select("sid", gid.alias("gid"), "g_min", "g_max", "g_step", *[F.col("labels")[t].alias(t) for t in tags])
+    meta = members.groupBy("gid", *[f"`{t}`" for t in tags]).agg(F.min(_in_group("g_min")).alias("g_min"), F.max("g_max").alias("g_max"), F.max("g_step").alias("g_step")).where("g_min is not null")
     return members.select("sid", "gid"), meta.select(F.col("gid").alias("sid"), label_map(tags).alias("labels"), F.lit(None).cast("string").alias("alias"), "g_min", "g_max", "g_step")
 
 
@@ -57,7 +65,7 @@ def aggregate(f: SeriesFrame, how: str, tags: list[str] = ()) -> SeriesFrame:
         return count(f, tags)
     f = uniform(f, tags)
     members, meta = _groups(f, tags)
-    points = _of_group(f.points, members).groupBy("gid", "ts").agg(AGGREGATES[how](clean()).alias("value")).where("value is not null")
+    points = _of_group(f.points, members).groupBy("gid", "ts").agg(AGGREGATES[how](_in_group(clean())).alias("value")).where("value is not null")
     return SeriesFrame(points.select(F.col("gid").alias("sid"), "ts", "value"), meta, step=f.step, steps=f.steps, tags=tuple(tags), single=not tags)
 
 
@@ -75,7 +83,8 @@ def count(f: SeriesFrame, tags: list[str] = ()) -> SeriesFrame:
 def _ranked(points: DataFrame) -> DataFrame:
     """gid, ts, value with rank r and number n among the values of a point; ranks come from a sort that can spill, so no list of a group is ever held."""
     w = Window.partitionBy("gid", "ts")
-    return points.where(~F.isnan("value")).withColumns({"n": F.count(F.lit(1)).over(w), "r": F.row_number().over(w.orderBy("value"))})
+    points = points.withColumn("value", _in_group(clean())).where("value is not null")
+    return points.withColumns({"n": F.count(F.lit(1)).over(w), "r": F.row_number().over(w.orderBy("value"))})
 
 
 def _nearest(p: float, interpolate: bool) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.model import SeriesFrame, grid_end
+from tidegrid.model import SeriesFrame, grid_end, stored
 from tidegrid.sources.documents import canonical_map, usable_samples
 
 
@@ -48,10 +48,10 @@ class Matchers:
         return hit
 
 
-def gridded(samples: DataFrame, start: int, step: int, order: Column) -> DataFrame:
-    """sid, ts, value: of each series and cell of the grid from start, the last sample; `order` decides among equal times. Partial results are built before the shuffle, so a hot series costs one row per task and cell."""
+def gridded(samples: DataFrame, start: int, step: int, order: Column, with_: tuple[str, ...] = ()) -> DataFrame:
+    """sid, ts, value and the columns with_, which belong to the series: of each series and cell of the grid from start, the last sample; `order` decides among equal times. Partial results are built before the shuffle, so a hot series costs one row per task and cell. What else is asked of the samples fetched should be asked of this result with its value (stored()), so that Spark sees one exchange and reads the source once."""
     cell = F.expr(f"{start} + ((ts - {start}) div {step}) * {step}")
-    return samples.groupBy("sid", cell.alias("cell")).agg(F.max_by("value", F.struct("ts", order)).alias("value")).select("sid", F.col("cell").alias("ts"), "value")
+    return samples.groupBy("sid", *with_, cell.alias("cell")).agg(F.max_by("value", F.struct("ts", order)).alias("value")).select("sid", *with_, F.col("cell").alias("ts"), "value")
 
 
 def _meta(series: DataFrame, start: int, end: int, step: int) -> DataFrame:
@@ -72,10 +72,16 @@ class TableSource:
         rows = rows.where((F.col("ts") >= start) & (F.col("ts") < end) & F.col("value").isNotNull())
         key = F.concat(*[F.coalesce(F.concat(F.lit("v"), F.col(n)), F.lit("-")) if i == 0 else F.concat(F.lit("\u0001"), F.coalesce(F.concat(F.lit("v"), F.col(n)), F.lit("-"))) for i, n in enumerate(named)])
         rows = rows.withColumn("sid", key)
-        series = rows.select("sid", *named).distinct()
+        wide = gridded(rows, start, step, F.col("seq"), tuple(named))
+        series = stored(wide).select("sid", *named).distinct()
         pairs = F.create_map(*[x for name, col in zip(self.labels, named) for x in (F.lit(name), F.col(col))])
         full = F.map_filter(pairs, lambda _, v: v.isNotNull())
-        return SeriesFrame(gridded(rows, start, step, F.col("seq")), _meta(series.select("sid", full.alias("labels")), start, end, step), step=step, live=True)
+        return SeriesFrame(wide.select("sid", "ts", "value"), _meta(series.select("sid", full.alias("labels")), start, end, step), step=step, live=True)
+
+
+def _sid() -> Column:
+    """The id of a catalog series; never null, so that joins add no filter that would tell equal scans apart."""
+    return F.coalesce(F.col("series_ref").cast("string"), F.lit("")).alias("sid")
 
 
 class DocumentSource:
@@ -89,8 +95,8 @@ class DocumentSource:
         if self.index_name:
             series = series.where(F.col("index_name") == self.index_name)
         docs = self.documents.where((F.col("sample_ts") >= start) & (F.col("sample_ts") < end))
-        s = usable_samples(docs, series, []).select(F.col("series_ref").cast("string").alias("sid"), F.col("sample_ts").alias("ts"), "value", (-F.col("row_id")).alias("seq"))
-        return SeriesFrame(gridded(s, start, step, F.col("seq")), _meta(series.select(F.col("series_ref").cast("string").alias("sid"), "labels"), start, end, step), step=step)
+        s = usable_samples(docs, series, []).select(_sid(), F.col("sample_ts").alias("ts"), "value", (-F.col("row_id")).alias("seq"))
+        return SeriesFrame(gridded(s, start, step, F.col("seq")), _meta(series.select(_sid(), "labels"), start, end, step), step=step)
 
 
 class UnionSource:
