@@ -57,3 +57,17 @@ def test_empty_and_bad_targets(spark):
     assert {(r["source"], r["tokens"], r["actual_share"]) for r in s} == {("a", 0, None), ("b", 0, None)}
     with pytest.raises(ValueError):
         Mix(d, odd, buckets=3)
+
+
+def test_ranges_follow_the_number_of_documents(spark, monkeypatch):
+    from tidegrid.llm import mix
+
+    d = docs(spark, [("a", [2] * 600), ("b", [1] * 30)])
+    t = spark.createDataFrame([("a", 0.7, 1), ("b", 0.3, 9)], T)
+    pick = lambda m: sorted((r["doc_id"], r["copy_no"]) for r in m.rows().collect())
+    one = Mix(d, t, total_tokens=500)
+    monkeypatch.setattr(mix, "RANGE_DOCS", 4)
+    many = Mix(d, t, total_tokens=500)
+    assert one.buckets == 16 and many.buckets == 256
+    assert pick(one) == pick(many)
+    assert many.sized.groupBy("source", "bucket").count().agg(F.max("count")).head()[0] < 20

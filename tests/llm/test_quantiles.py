@@ -77,3 +77,35 @@ def test_queries_against_exact_ranks(spark):
         assert worst(own, g.value.to_numpy(), g.p.to_numpy()) <= 1
     days = queries.p1_days(spark, d)
     assert days.where("day_utc is null").groupBy("metric_name").agg(F.first("n")).count() == table(spark, d, "metric_info").count()
+
+
+def test_only_alike_sketches_merge():
+    for other in (q.Sketch(k=16), q.Sketch(high=False)):
+        with pytest.raises(ValueError):
+            q.Sketch().merge(other)
+
+
+def test_a_metric_of_many_groups_is_merged_in_parts(spark):
+    """1,000 finest groups of one metric with 256 parts each in the first step; no task of the upward merge reads much more than the median."""
+    packed = {i: q.Sketch().add(np.arange(i, i + 40.0)).pack() for i in range(4)}
+    rows = [("m", str(g), bytes(packed[g % 4])) for g in range(1000)]
+    fine = spark.createDataFrame(rows, "metric string, grp string, sketch binary").repartition(8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        spread = fine.select("metric", "sketch", F.pmod(F.xxhash64("grp"), F.lit(q.FAN)).alias("part"))
+        sizes = [r["n"] for r in spread.repartition(8, "metric", "part").groupBy(F.spark_partition_id().alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert len(sizes) == 8 and max(sizes) <= 2 * np.median(sizes)
+        out = q.merge_spread(fine, ["metric"], ["grp"])
+        assert "part" in out._jdf.queryExecution().optimizedPlan().toString()
+        s = q.Sketch.unpack(out.collect()[0]["sketch"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert s.n == 40_000 and s.low == 0 and s.top == 42
+
+
+def test_queries_that_state_bounds(spark):
+    from tidegrid.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    assert queries.p1_within(spark, d).where("not within").count() == 0
+    assert queries.p4_coverage(spark, d).where("not covered").count() == 0

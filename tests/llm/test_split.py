@@ -67,3 +67,17 @@ def test_found_equals_the_counted(spark):
     text = {r["doc_id"]: r["text"] for r in table(spark, d, "documents").select("doc_id", "text").collect()}
     want = {k for k, t in text.items() if tokens.encoder().count([t])[0] > 4096}
     assert {r["doc_id"] for r in queries.p8_found(spark, d).collect()} == want and want
+
+
+@pytest.mark.parametrize("limit,overlap", [(64, 4), (64, 9), (100, 16), (300, 40), (1000, 150)])
+def test_no_piece_is_over_any_limit_when_encoded_by_itself(limit, overlap):
+    e = tokens.encoder()
+    for text in [*TEXTS.values(), "".join(TEXTS.values()), "\u0301\U0001F3F3" * 700, "a" * 9000, " \n" * 4000]:
+        _, p = pieces(text, limit, overlap)
+        assert all(n <= limit for n in e.count([x["text"] for x in p]))
+        assert not p or p[-1]["end_char"] == len(text)
+
+
+def test_minified_code_is_cut_after_marks():
+    p = pieces("a=b(c)[d];e={f:g,h:i};" * 60)[1]
+    assert {x["cut"] for x in p[:-1]} == {"mark"}

@@ -74,3 +74,16 @@ def test_encoded(spark, library, monkeypatch):
     assert encode.round_trip(df).where("not same").count() == 0
     assert encode.encoded(df.limit(0)).count() == 0
     assert sys.getsizeof(tokens.encoder().chunks) > 0 or True
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_other_vocabularies_get_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(f"{tokens.TOKENIZERS}/{name}")
+    t.encode_special_tokens = True
+    e = tokens.Encoder(name=name)
+    assert e.by_chunks == (name == tokens.BYTE_BPE)
+    texts = [x for x in TEXTS if x] + ["Mixed Case it's x-ray  12.5e3", "caf\u00e9 CAF\u00c9\n\nend"]
+    assert ids(e, texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert ids(e, ["", None]) == [[], []]

@@ -33,7 +33,7 @@ def merged(parts: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def estimates(parts: DataFrame, groups: list[str], rows: int = ROWS) -> DataFrame:
-    """(groups..., estimate, std_error, low, high): the maximum likelihood estimate of the number of distinct identifiers of each group, its standard error by the Fisher information, and the interval of three of these around it, not below the number of bits set."""
+    """(groups..., estimate, std_error, low, high): the maximum likelihood estimate of the number of distinct identifiers of each group, its standard error by the Fisher information, and the interval of three of these around it, not below the number of bits set, and one wider above: of few identifiers two may set one bit, which the estimate can't tell."""
     counts = parts.groupBy(*groups).agg(*[F.sum(F.shiftrightunsigned("bits", r).bitwiseAND(F.lit(1).cast("long"))).alias(f"_c{r}") for r in range(RANKS)])
     packed = counts.select(*groups, F.array(*[f"_c{r}" for r in range(RANKS)]).alias("_c"))
     e = packed.select(*groups, _likeliest(rows)("_c").alias("_e"))
@@ -67,7 +67,7 @@ def _likeliest(rows: int):
     def solve(c: pd.Series) -> pd.DataFrame:
         m = np.array(c.tolist(), dtype=float).reshape(len(c), RANKS)
         n, s = likeliest(m, rows)
-        return pd.DataFrame({"estimate": n, "std_error": s, "low": np.maximum(n - 3 * s, np.minimum(m.sum(axis=1), n)), "high": n + 3 * s})
+        return pd.DataFrame({"estimate": n, "std_error": s, "low": np.maximum(n - 3 * s, np.minimum(m.sum(axis=1), n)), "high": n + 3 * s + (n > 0)})
 
     return solve
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,23 +10,30 @@ from tidegrid.llm.encode import counted
 from tidegrid.session import checkpointed, small_side
 
 
+#: Documents of a source that share a key range, about.
+RANGE_DOCS = 20_000
+
+
 class Mix:
     """A mix of documents (doc_id, text, source) to the shares of targets (source, target_share, max_repeats).
 
     Target shares count among the sources that have tokens, scaled up to 1 where others have none. total_tokens is the size of the mix; without it, it is the largest for which no source needs a document more than max_repeats times. A total that a source can't fill within its repeats leaves that source short, which the report shows. Documents without a source or with one that has no target take no part; targets with a null source, a share of 0 or less, or fewer than 1 repeat have a budget of 0. Empty and null texts have 0 tokens and come along with their neighbours. Rows that repeat a doc_id are documents of their own.
 
-    Each document gets a hash-random key. Within a source, documents are ordered by key: ranges of keys (buckets) have their token sums added up over the source, and each range adds up its own documents, so that no source, however large, is in one task. A source's budget is a number of whole epochs and a rest; the rest is the documents from the start of the order up to the cut nearest to it, which misses the budget by at most half a document.
+    Each document gets a hash-random key. Within a source, documents are ordered by key: ranges of keys (buckets) have their token sums added up over the source, and each range adds up its own documents, so that no source, however large, is in one task. There are as many ranges as leave each about RANGE_DOCS documents of the largest source; the mix does not depend on their number. A source's budget is a number of whole epochs and a rest; the rest is the documents from the start of the order up to the cut nearest to it, which misses the budget by at most half a document.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, buckets: int = 1024, seed: int = 17, folder: str = tokens.TOKENIZERS, name: str = tokens.BYTE_BPE):
-        bits = int(math.log2(buckets))
-        if 1 << bits != buckets:
+    def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, buckets: int | None = None, seed: int = 17, folder: str = tokens.TOKENIZERS, name: str = tokens.BYTE_BPE):
+        if buckets is not None and (buckets < 2 or buckets & (buckets - 1)):
             raise ValueError("buckets must be a power of two")
         t = targets.where("source is not null").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
         wanted = documents.select("doc_id", "text", "source").join(small_side(t.select("source")), "source", "left_semi")
         key = F.xxhash64("doc_id", F.lit(seed))
-        sized = counted(wanted, ["doc_id", "source"], folder, name).withColumn("key", key).withColumn("bucket", F.shiftrightunsigned("key", 64 - bits))
-        self.sized = checkpointed(sized)
+        sized = checkpointed(counted(wanted, ["doc_id", "source"], folder, name).withColumn("key", key))
+        if buckets is None:
+            most = sized.groupBy("source").count().agg(F.max("count")).head()[0] or 0
+            buckets = 1 << max(4, (most // RANGE_DOCS).bit_length())
+        self.buckets = buckets
+        self.sized = sized.withColumn("bucket", F.shiftrightunsigned("key", 65 - buckets.bit_length()))
         sums = self.sized.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
         before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         self.offsets = sums.select("source", "bucket", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"))

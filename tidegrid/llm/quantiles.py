@@ -39,6 +39,9 @@ class Sketch:
         return self
 
     def merge(self, other: "Sketch") -> "Sketch":
+        """Adds what other holds; sketches of another size or with another protected side can't be merged."""
+        if (self.k, self.high) != (other.k, other.high):
+            raise ValueError(f"sketches of k={self.k}, high={self.high} and k={other.k}, high={other.high} can't be merged")
         self.n, self.nan = self.n + other.n, self.nan + other.nan
         self.low, self.top = min(self.low, other.low), max(self.top, other.top)
         for h, values in enumerate(other.levels):
@@ -180,6 +183,12 @@ def merge_sketches(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.select(*keys, "sketch").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{fields}, sketch binary")
 
 
+def merge_spread(parts: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """(keys..., sketch): merged in two steps, first within FAN parts of each key by a hash of the columns by, so that no task reads more than a part of a large group and then FAN sketches."""
+    spread = parts.select(*keys, "sketch", F.pmod(F.xxhash64(*by), F.lit(FAN)).alias("part"))
+    return merge_sketches(merge_sketches(spread, [*keys, "part"]), keys)
+
+
 def percentiles(merged: DataFrame, keys: list[str], ps: tuple[float, ...]) -> DataFrame:
     """(keys..., p, value, n, n_nan, rank_error) of each sketch; rank_error is the stated error as a share of n, 0 while the sketch still holds every value."""
 

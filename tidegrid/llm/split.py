@@ -13,8 +13,10 @@ from tidegrid.llm import tokens
 from tidegrid.llm.encode import spread
 
 LIMIT, OVERLAP = 4096, 128
-#: Kinds of boundary, weakest first: inside a character (never cut), between characters, at white space, after a sentence or statement, after a line, after a blank line.
-KINDS = ("none", "character", "space", "sentence", "line", "paragraph")
+#: Tokens of its own from which a stretch can be bisected: any more hold a border between characters.
+LEAST = 8
+#: Kinds of boundary, weakest first: inside a character (never cut), between characters, after a comma, semicolon or brace without white space, at white space, after a sentence or statement, after a line, after a blank line.
+KINDS = ("none", "character", "mark", "space", "sentence", "line", "paragraph")
 _SCHEMA = "doc_id long, piece_no int, n_pieces int, start_char long, end_char long, n_tokens int, overlap_tokens int, cut string, text string"
 
 
@@ -26,15 +28,16 @@ def strengths(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     space = lambda x: (x == 32) | ((x >= 9) & (x <= 13))
     out = np.where((after & 0xC0) == 0x80, 0, 1)
     free = out > 0
-    out[free & (space(after) | space(b1))] = 2
+    out[free & np.isin(b1, np.frombuffer(b",;{}", np.uint8))] = 2
+    out[free & (space(after) | space(b1))] = 3
     ends = np.isin(b1, np.frombuffer(b".!?;}", np.uint8)) & space(after)
     # The UTF-8 ends of the ideographic full stop and of the full-width ! and ?.
     ends |= (b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x82) | (b3 == 0xEF) & (b2 == 0xBC) & ((b1 == 0x81) | (b1 == 0x9F))
-    out[free & ends] = 3
+    out[free & ends] = 4
     line = (b1 == 10) | ((b1 == 13) & (after != 10))
-    out[free & line] = 4
+    out[free & line] = 5
     blank = (b1 == 10) & ((b2 == 10) | (b2 == 13) & (b3 == 10)) | (b1 == 13) & (b2 == 13)
-    out[free & line & blank] = 5
+    out[free & line & blank] = 6
     return out
 
 
@@ -70,7 +73,7 @@ def cuts(strength: np.ndarray, limit: int, overlap: int, small: set[tuple[int, i
 
 
 def split_text(text: str, e: tokens.Encoder, ids: np.ndarray, limit: int, overlap: int, folder: str, name: str) -> list[dict]:
-    """The pieces of one text; each also has at most limit tokens when it is encoded by itself, for which a stretch is bisected once more where needed."""
+    """The pieces of one text; each also has at most limit tokens when it is encoded by itself, for which a stretch is bisected once more where needed. A stretch of up to LEAST tokens needs it never: with its overlap it is well under any limit that split_documents takes."""
     starts = tokens.byte_offsets(ids, folder, name)
     raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
     strength = strengths(raw, starts)
@@ -79,7 +82,7 @@ def split_text(text: str, e: tokens.Encoder, ids: np.ndarray, limit: int, overla
     while True:
         spans = cuts(strength, limit, overlap, small)
         parts = [text[char[s] : char[t]] for s, t, _ in spans]
-        over = [(own, t) for (s, t, own), n in zip(spans, e.count(parts)) if n > limit and t - own > 8 * (overlap + 4)]
+        over = [(own, t) for (s, t, own), n in zip(spans, e.count(parts)) if n > limit and t - own > LEAST]
         if not over:
             break
         small.update(over)

@@ -30,7 +30,7 @@ KEPT_CHARS, KEPT = 48, 300_000
 class Encoder:
     """encode() gives what the tokenizers library gives for the whole text, special tokens' names being ordinary text.
 
-    Texts are cut into chunks, which the library encodes once each: most chunks come back often. Each kept chunk is its ids as bytes (int32), so a text's ids are one join.
+    Texts are cut into chunks, which the library encodes once each: most chunks come back often. Each kept chunk is its ids as bytes (int32), so a text's ids are one join. That holds for byte-level vocabularies that cut texts by the usual pattern and change nothing before or after; with any other vocabulary the library gets whole texts.
     """
 
     def __init__(self, folder: str = TOKENIZERS, name: str = BYTE_BPE):
@@ -38,6 +38,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(f"{folder}/{name}")
+        with open(f"{folder}/{name}", encoding="utf-8") as f:
+            parts = json.load(f)
+        cut = parts.get("pre_tokenizer") or {}
+        model = parts["model"]
+        added = [t for t in parts.get("added_tokens", []) if not t.get("special")]
+        self.by_chunks = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and parts.get("normalizer") is None and model.get("type", "BPE") == "BPE" and not (model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or model.get("dropout")) and not added
         self.tokenizer.encode_special_tokens = True
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -62,6 +68,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """int32 ids as bytes of each text; none for empty and null texts."""
+        if not self.by_chunks:
+            return [b if t else b"" for t, b in zip(texts, self._library([t or "" for t in texts]))]
         cut = [(_ASCII_CHUNK if t.isascii() else _CHUNK).findall(t) if t else [] for t in texts]
         if len(self.chunks) > KEPT:
             self.chunks.clear()
