@@ -32,9 +32,9 @@ def test_parsed_value(spark):
     assert [r[0] for r in rows] == [12.5, 15.0, -0.5, 7.0, INF, -INF] + [None] * 11
 
 
+@pytest.mark.parametrize("by_text", [True, False])
 @pytest.mark.parametrize("broadcast", [True, False])
-def test_usable_samples(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+def test_usable_samples(spark, monkeypatch, broadcast, by_text):
     if not broadcast:
         monkeypatch.setattr("tidegrid.sources.documents.small_side", lambda df: df)
     docs = [
@@ -51,10 +51,10 @@ def test_usable_samples(spark, monkeypatch, broadcast):
         (10, "c ", None, 15, None, "+Inf", "x"),
     ]
     cat = [(7, {"a": "1", "b": "2"}, 10, 20, 5, "clash"), (11, {"c": ""}, 0, 30, 5, "clash"), (12, None, 0, 30, 5, "clash")]
-    out = usable_samples(spark.createDataFrame(docs, DOC), spark.createDataFrame(cat, CAT), ["grid_ms"])
+    out = usable_samples(spark.createDataFrame(docs, DOC), spark.createDataFrame(cat, CAT), ["grid_ms"], by_text)
     assert sorted((r["row_id"], r["series_ref"]) for r in out.collect()) == [(1, 7), (1, 7), (2, 7), (3, 7), (10, 11)]
     assert out.columns == ["row_id", "sample_ts", "value", "series_ref", "min_ts", "max_ts", "grid_ms"]
-    empty = usable_samples(spark.createDataFrame([], DOC), spark.createDataFrame(cat, CAT), [])
+    empty = usable_samples(spark.createDataFrame([], DOC), spark.createDataFrame(cat, CAT), [], by_text)
     assert empty.count() == 0
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.session import small_side
+from tidegrid.session import checkpointed, small_side
 
 #: Separators of the canonical form; no label holds these control characters.
 PAIR, ENTRY = "\u0001", "\u0002"
@@ -36,23 +36,32 @@ def parsed_value(number: Column, text: Column) -> Column:
     )
 
 
-def usable_samples(documents: DataFrame, series: DataFrame, keep: list[str]) -> DataFrame:
+def usable_samples(documents: DataFrame, series: DataFrame, keep: list[str], by_text: bool = True) -> DataFrame:
     """Usable samples: (row_id, series_ref, sample_ts, value) and the columns `keep` of series.
 
     A document belongs to the series with its set of labels, or, if labels is null, with its series_ref; it needs a readable value and a time within the life of the series, both ends included. Late and repeated rows stay. A document that names neither, or nothing known, is left out, as is one without a time.
 
-    series: series_ref, labels, min_ts, max_ts and the columns of keep, already filtered to the series that are wanted. Both ways to name a series become one 128-bit key, so each document is read once and joined once; the catalog side is broadcast only if a count proves it small. Other columns of either table are dropped first, so clashing names do no harm.
+    series: series_ref, labels, min_ts, max_ts and the columns of keep, already filtered to the series that are wanted. Other columns of either table are dropped first, so clashing names do no harm. Both ways to name a series become one 128-bit key, on which documents are joined once; the catalog side is broadcast only if a count proves it small.
+
+    Working out a set of labels costs more than all else, and texts come back often. With by_text each distinct text is worked out once, for which the column of labels is read on its own first, and what the texts name is written to the checkpoint folder: for whole tables. Without it, documents are read once and each text is worked out: for selections.
     """
     names = [c for c in dict.fromkeys(["series_ref", "min_ts", "max_ts", *keep])]
-    own = series.select(*names, canonical_map("labels").alias("_labels"))
-    keys = F.array(F.concat(F.lit("L"), F.col("_labels")), F.concat(F.lit("R"), F.col("series_ref").cast("string")))
-    own = own.select(*names, F.explode(keys).alias("_key")).where("_key is not null")
-    own = own.select(*names, *_hashes(F.col("_key")))
+    by_labels = F.concat(F.lit("L"), canonical_map("labels")).alias("_key")
+    by_ref = F.concat(F.lit("R"), F.col("series_ref").cast("string"))
+    sets = series.select(*names, by_labels).where("_key is not null").select(*names, *_hashes(F.col("_key")))
+    refs = series.select(*names, by_ref.alias("_key")).where("_key is not null").select(*names, *_hashes(F.col("_key")))
+    if by_text:
+        texts = documents.select("labels").where("labels is not null").distinct()
+        texts = texts.select(F.concat(F.lit("L"), "labels").alias("_text"), *_hashes(F.concat(F.lit("L"), canonical_text(F.col("labels")))))
+        named = texts.join(sets, ["_k1", "_k2"]).select(*names, *_hashes(F.col("_text")))
+        own, text = checkpointed(named.unionByName(refs)), F.col("labels")
+    else:
+        own, text = sets.unionByName(refs), canonical_text(F.col("labels"))
     docs = documents.select(
         "row_id",
         "sample_ts",
         parsed_value(F.col("sample_value"), F.col("value_text")).alias("value"),
-        F.coalesce(F.concat(F.lit("L"), canonical_text(F.col("labels"))), F.concat(F.lit("R"), F.col("series_ref").cast("string"))).alias("_key"),
+        F.coalesce(F.concat(F.lit("L"), text), by_ref).alias("_key"),
     ).where("value is not null and sample_ts is not null")
     # No filter on _key: it would be pushed below the projection and work the key out once more. A null key's hash is no key of the catalog.
     docs = docs.select("row_id", "sample_ts", "value", *_hashes(F.col("_key")))

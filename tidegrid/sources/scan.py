@@ -95,7 +95,7 @@ class DocumentSource:
         if self.index_name:
             series = series.where(F.col("index_name") == self.index_name)
         docs = self.documents.where((F.col("sample_ts") >= start) & (F.col("sample_ts") < end))
-        s = usable_samples(docs, series, []).select(_sid(), F.col("sample_ts").alias("ts"), "value", (-F.col("row_id")).alias("seq"))
+        s = usable_samples(docs, series, [], by_text=False).select(_sid(), F.col("sample_ts").alias("ts"), "value", (-F.col("row_id")).alias("seq"))
         return SeriesFrame(gridded(s, start, step, F.col("seq")), _meta(series.select(_sid(), "labels"), start, end, step), step=step)
 
 
