@@ -80,6 +80,17 @@ def test_long_windows_equal_short_ones(run, monkeypatch):
             monkeypatch.undo()
 
 
+def test_long_medians_equal_short_ones(run, monkeypatch):
+    from tidegrid.operators import windows
+
+    queries = [f"fetch name:{name} | moving {n}m median" for name in ("gaps", "counter", "avg") for n in (1, 3, 5)]
+    want = [run(q) for q in queries]
+    for block in (1, 4, 8192):
+        monkeypatch.setattr(windows, "MEDIAN_POINTS", 0)
+        monkeypatch.setattr(windows, "MEDIAN_BLOCK", block)
+        assert [run(q) for q in queries] == want
+
+
 def test_summarize(run):
     assert only(run("fetch name:steps | summarize 2m sum")) == {0: 30, 2: 70, 4: 110}
     assert only(run("fetch name:steps | summarize 3m avg")) == {0: 20, 3: 50}

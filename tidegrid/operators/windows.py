@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from dataclasses import replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from tidegrid.model import SeriesFrame, by_series, clean
 
 #: Windows of more points than this are combined from block prefixes and suffixes instead of being summed anew at each point.
 SLIDING_POINTS = 16
+#: Medians over windows of more points than this run in Python over blocks of so many points or a window, if that is longer; shorter ones sort each window.
+MEDIAN_POINTS, MEDIAN_BLOCK = 32, 8192
 MOVING = ("sum", "avg", "min", "max", "median")
 #: Start of year 1 in ms since 1970, to which summarize aligns unless told otherwise.
 YEAR_ONE = -62_135_596_800_000
@@ -36,6 +41,8 @@ def moving(f: SeriesFrame, ms: int, how: str) -> SeriesFrame:
     if ms < step:
         raise ValueError("moving: the window is shorter than the step")
     n = ms // step
+    if how == "median" and n > MEDIAN_POINTS:
+        return f.with_points(_medians(f, n))
     dense = f.dense().withColumn("v", clean())
     if how == "median":
         held = F.array_sort(F.collect_list("v").over(by_series().rowsBetween(-n, -1)))
@@ -48,6 +55,39 @@ def moving(f: SeriesFrame, ms: int, how: str) -> SeriesFrame:
     return f.with_points(out.where("value is not null"))
 
 
+def _medians(f: SeriesFrame, n: int) -> DataFrame:
+    """sid, ts, value: the lower median of the n grid points before each one. Each series is cut into blocks of grid points, and a block also gets the n points before it; within one, the window is kept in order while it moves, so a point costs two binary searches, however long the window is."""
+    step, size = f.step, max(n, MEDIAN_BLOCK)
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        g_min, g_max, block = (int(batch[c].iloc[0]) for c in ("g_min", "g_max", "block"))
+        order = np.argsort(batch["ts"].to_numpy())
+        at = ((batch["ts"].to_numpy()[order] - g_min) // step).tolist()
+        value = batch["value"].to_numpy(dtype=float)[order].tolist()
+        first, last = block * size, min((block + 1) * size - 1, (g_max - g_min) // step)
+        window: list[float] = []
+        into = out = 0
+        found, place = [], []
+        for i in range(first, last + 1):
+            while into < len(at) and at[into] < i:
+                insort(window, value[into])
+                into += 1
+            while out < into and at[out] < i - n:
+                del window[bisect_left(window, value[out])]
+                out += 1
+            if window:
+                found.append(window[(len(window) - 1) // 2])
+                place.append(g_min + i * step)
+        return pd.DataFrame({"sid": batch["sid"].iloc[0], "ts": np.array(place, dtype=np.int64), "value": np.array(found, dtype=float)})
+
+    p = f.points.where(~F.isnan("value")).join(f.alive().meta.select("sid", "g_min", "g_max"), "sid")
+    i = F.floor((F.col("ts") - F.col("g_min")) / step)
+    # a point lies in the windows of the n points after it: in its own block, unless it is the last, and in the next
+    p = p.withColumn("block", F.explode(F.array_distinct(F.array(F.floor((i + 1) / size), F.floor((i + n) / size)))))
+    p = p.where(F.col("block") * size <= F.floor((F.col("g_max") - F.col("g_min")) / step))
+    return p.groupBy("sid", "block").applyInPandas(run, "sid string, ts long, value double")
+
+
 def _blocks(dense: DataFrame, n: int, how: str) -> DataFrame:
     """Each window of n points is a suffix of one block of n points and a prefix of the next: two running aggregates and two lags, whatever n is, and nothing is ever subtracted."""
     d = dense.withColumn("i", F.row_number().over(by_series()) - 1).withColumn("b", F.floor(F.col("i") / n))
