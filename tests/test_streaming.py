@@ -62,3 +62,33 @@ def test_compaction_leaves_other_blocks_of_its_target(spark, tmp_path):
     ingest.compact(spark, src, out, [120 * MIN])
     ingest.compact(spark, src, out, [0])
     assert sorted(r["ts"] for r in spark.read.parquet(out).collect()) == [0, 130 * MIN]
+
+
+def test_the_registry_gets_or_creates_series_and_drops_dead_ones(spark, tmp_path):
+    src, at, ck = tmp_path / "in", str(tmp_path / "catalog"), str(tmp_path / "ck")
+
+    def run():
+        ingest.registry(ingest.documents(spark.readStream.text(str(src))), at, ck, {"availableNow": True}).awaitTermination(120)
+        return {r["series_key"]: (r["ref"], r["first_ts"] // MIN, r["last_ts"] // MIN) for r in ingest.series(spark, at).collect()}
+
+    write(src, "0.json", [doc("a 1 b 2", 10 * MIN, 1), doc("b 2 a 1", 30 * MIN, 1), doc(None, 5 * MIN, 2, 7)])
+    one = run()
+    assert sorted(x[1:] for x in one.values()) == [(5, 5), (10, 30)]
+    write(src, "1.json", [doc("b 2 a 1", 2 * MIN, 1), doc("c 3", 50 * MIN, 1)])
+    two = run()
+    assert len(two) == 3 and all(two[k][0] == one[k][0] for k in one) and sorted(x[1:] for x in two.values()) == [(2, 30), (5, 5), (50, 50)]
+    ingest.drop_series(spark, at, 20 * MIN)
+    assert sorted(x[1:] for x in [(r["ref"], r["first_ts"] // MIN, r["last_ts"] // MIN) for r in ingest.series(spark, at).collect()]) == [(2, 30), (50, 50)]
+    write(src, "2.json", [doc(None, 60 * MIN, 2, 7)])
+    assert run()["R7"] == (one["R7"][0], 60, 60)
+    assert len(ingest.series(spark, at).collect()) == 3
+
+
+def test_tiers():
+    h = 3_600_000
+    assert ingest.tiers(20 * h, 2 * h) == [2 * h] and ingest.tiers(200 * h, 2 * h) == [2 * h, 6 * h, 18 * h]
+    assert ingest.tiers(None, 2 * h)[-1] == 486 * h and ingest.tiers(10_000 * h, 2 * h)[-1] == 744 * h
+    steps = ingest.tiers(200 * h, 2 * h)
+    assert ingest.tier_plan([0, 2 * h, 4 * h, 6 * h], steps) == [0, 2 * h, 4 * h]
+    assert ingest.tier_plan([0, 2 * h, 4 * h], steps) == [] == ingest.tier_plan([], steps)
+    assert ingest.tier_plan([-6 * h, -2 * h, 0, 12 * h], steps) == [-6 * h, -2 * h]

@@ -476,7 +476,8 @@ def judged_readings(samples: DataFrame) -> DataFrame:
     tasks = max(once.sparkSession.sparkContext.defaultParallelism, -(-once.count() // (2 * PERIOD_READINGS)))
     found = rows.repartition(tasks, "series_ref", "p").groupBy("series_ref", "p").applyInPandas(_judge_group, "series_ref long, sample_ts long, value double, score double, code byte")
     kind = F.when(F.col("code") > 0, F.element_at(F.array(*map(F.lit, KINDS)), F.col("code").cast("int")))
-    return found.select("series_ref", "sample_ts", "value", "score", kind.alias("kind"))
+    value = F.coalesce("value", F.lit(float("nan")))  # pandas gives NaN back as null
+    return found.select("series_ref", "sample_ts", value.alias("value"), "score", kind.alias("kind"))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:

@@ -33,12 +33,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that all executors share, and read from there: lineage ends here and survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that all executors share.
 
-    The folder is the session's spark.checkpoint.dir, which wins over one that the context has already. Only a local session without either gets a temporary folder; elsewhere one of them is required.
+    It is the session's spark.checkpoint.dir, which wins over one that the context has already. Only a local session without either gets a temporary folder; elsewhere one of them is required.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     at = sc.getCheckpointDir()
@@ -50,6 +49,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tidegrid-checkpoint-")
             atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder that all executors share, and read from there: lineage ends here and survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
