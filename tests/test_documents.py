@@ -252,6 +252,30 @@ def test_sources_that_usually_repeat_their_value():
     assert (kinds(ts, v) == want).all()
 
 
+def test_facts_do_not_depend_on_how_a_source_is_cut():
+    rng = np.random.default_rng(7)
+    ts, v = waves(4000, 23)
+    v[np.arange(4000) % 200 < 30] = 0.0
+    for s in rng.integers(0, 3900, 12):
+        v[s : s + int(rng.integers(5, 90))] = v[s]
+    v[1700:2900] = v[1700]
+    v[rng.integers(0, 4000, 40)] = NAN
+    for y in (v, np.round(v / 8), np.full(4000, 3.0), np.full(4000, NAN)):
+        whole = spikes._facts([spikes._part(ts, y, NAN, NAN)])
+        for size in (1, 7, 300, 1500):
+            parts = [spikes._part(ts[i : i + size], y[i : i + size], NAN, NAN) for i in range(0, 4000, size)]
+            flat = spikes._facts(parts)
+            while len(parts) > 1:
+                parts = [spikes.reduce(spikes._joined, parts[i : i + 3]) for i in range(0, len(parts), 3)]
+            tree = spikes._facts(parts)
+            assert (tree.phases == flat.phases).all() and (tree.long == flat.long).all()
+            for f in (flat, tree):
+                assert f.readings == 4000 and (f.phases == whole.phases).all() and f.usual == whole.usual and f.longest == whole.longest
+            assert flat.noise == tree.noise and flat.step == tree.step
+            if size >= 300:
+                assert flat.noise == pytest.approx(whole.noise, rel=0.02)
+
+
 def test_coarse_sources_in_periods(spark, monkeypatch):
     monkeypatch.setattr(spikes, "PERIOD_READINGS", 300)
     v = np.floor(np.arange(2000) / 3.0) % 7 + 20
@@ -362,7 +386,8 @@ def test_cases_do_not_depend_on_periods(spark, monkeypatch):
         k = int(rng.integers(10, 40))
         v[s : s + k] = v[s] + rng.normal(0, rng.choice([0.0, 0.02, 0.08, 0.15]), k)
     got = []
-    for readings in (20_000, 2_600, 2_048):
+    for readings, fan in ((20_000, 64), (2_600, 64), (2_048, 2)):
         monkeypatch.setattr(spikes, "PERIOD_READINGS", readings)
+        monkeypatch.setattr(spikes, "FAN", fan)
         got.append(judged(spark, ts, v))
     assert (got[0] != "").sum() > 100 and (got[0] == got[1]).all() and (got[0] == got[2]).all()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from tidegrid.session import checkpointed, small_side
 
 #: Readings of one source that are judged together at most, about: a source with more is cut into periods of equal numbers of readings with a margin on both sides.
 PERIOD_READINGS = 20_000
+#: What periods tell about their source is joined by so many at a time.
+FAN = 64
 #: Forest: trees, rows per tree, readings of a source they are drawn from, and the score from which a reading is a case unless its surroundings excuse it.
 TREES, PSI, SAMPLE, CASE = 64, 128, 4096, 0.5
 #: Features lie between 0 and 1, in this many steps; 0.5 stands for a level, and for a difference or distance from the season, of so many times the usual noise, and for a still stretch of so much evidence.
@@ -96,10 +99,11 @@ def _equal_runs(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Part:
-    """What a period tells about its source. runs: (start time, end time, readings, value) of its first and last run of equal values, the same one if there is no other. zero: (start time, end time, readings) of the runs of 0 between these. changes: differences of lively neighbours, those of runs of 0 left out, and with them. lengths: readings of the runs between the first and the last. steps: changes of the level, which spikes don't move. resolution: the least step that the values can show. readings: their number."""
+    """What a period, or several in a row, tell about their source. runs: (start time, end time, readings, value) of the first and last run of equal values, the same one if there is no other. zero: (start time, end time, readings) of the runs of 0 between these. long: the same of runs that cross a border of periods. changes: differences of lively neighbours, those of runs of 0 left out, and with them. lengths: readings of the runs between the first and the last. steps: changes of the level, which spikes don't move. resolution: the least step that the values can show. readings: their number."""
 
     runs: list[tuple[int, int, int, float]]
     zero: np.ndarray
+    long: list[tuple[int, int, int]]
     changes: tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     lengths: tuple[np.ndarray, np.ndarray]
     steps: tuple[np.ndarray, np.ndarray]
@@ -139,7 +143,7 @@ def _part(ts: np.ndarray, value: np.ndarray, low: float, high: float) -> Part:
     inner = np.arange(1, len(starts) - 1)
     lengths = _counted(length[inner])
     inner = inner[(y[starts[inner]] == 0.0) & (length[inner] >= 3)]
-    return Part(runs, np.column_stack([t[starts[inner]], t[ends[inner]], length[inner]]).astype(np.int64).reshape(-1, 3), tuple(changes), lengths, _counted(_rounded(steps[steps > 0])), resolution, len(ts))
+    return Part(runs, np.column_stack([t[starts[inner]], t[ends[inner]], length[inner]]).astype(np.int64).reshape(-1, 3), [], tuple(changes), lengths, _counted(_rounded(steps[steps > 0])), resolution, len(ts))
 
 
 def _lively(run: np.ndarray) -> np.ndarray:
@@ -184,28 +188,52 @@ def _longest(lengths: tuple[np.ndarray, np.ndarray]) -> float:
     return max(FROZEN_MIN, float(high) * np.log(BY_CHANCE * n) / -np.log(1 - USUAL_RUNS))
 
 
+def _zeros(runs: list) -> np.ndarray:
+    """Those of some runs that may be off phases."""
+    return np.array([r[:3] for r in runs if r[3] == 0.0 and r[2] >= 3], dtype=np.int64).reshape(-1, 3)
+
+
+def _lengths(runs: list) -> tuple[np.ndarray, np.ndarray]:
+    return _counted(np.array([r[2] for r in runs], dtype=np.int64))
+
+
+def _ends(p: Part) -> list:
+    """First and last run of a part, once if they are one."""
+    return p.runs[:1] if p.runs and p.runs[0] == p.runs[1] else p.runs
+
+
+def _joined(a: Part, b: Part) -> Part:
+    """Two parts that follow each other as one: a run that goes on over the border is joined before it is looked at."""
+    runs, more, long = _ends(a), _ends(b), [*a.long, *b.long]
+    if runs and more and runs[-1][3] == more[0][3]:
+        x, y = runs[-1], more[0]
+        both = (x[0], y[1], x[2] + y[2], x[3])
+        long = [r for r in long if r[0] not in (x[0], y[0])] + [both[:3]]
+        runs, more = [*runs[:-1], both], more[1:]
+    runs = [*runs, *more]
+    inner = runs[1:-1]
+    return Part(
+        [runs[0], runs[-1]] if runs else [],
+        np.concatenate([a.zero, _zeros(inner), b.zero]),
+        long,
+        tuple(_merged([x, y]) for x, y in zip(a.changes, b.changes)),
+        _merged([a.lengths, b.lengths, _lengths(inner)]),
+        _merged([a.steps, b.steps]),
+        min(a.resolution, b.resolution),
+        a.readings + b.readings,
+    )
+
+
 def _facts(parts: list[Part]) -> Facts:
-    """Facts of a source from those of its periods in order of time: runs are joined over the borders before they are looked at."""
-    runs, long, zero = [], [], [np.zeros((0, 3), dtype=np.int64)]
-    for p in parts:
-        zero.append(p.zero)
-        for i, r in enumerate(p.runs if len(p.runs) < 2 or p.runs[0] != p.runs[1] else p.runs[:1]):
-            if i == 0 and runs and runs[-1][3] == r[3]:
-                first = runs.pop()
-                if long and long[-1][0] == first[0]:
-                    long.pop()
-                r = (first[0], r[1], first[2] + r[2], r[3])
-                long.append(r[:3])
-            runs.append(r)
-    zero.append(np.array([r[:3] for r in runs if r[3] == 0.0 and r[2] >= 3], dtype=np.int64).reshape(-1, 3))
-    zero = np.concatenate(zero)
+    """Facts of a source from its parts in order of time."""
+    p = reduce(_joined, parts)
+    ends = _ends(p)
+    zero = np.concatenate([p.zero, _zeros(ends)])
     phases, usual = _phases(zero[np.argsort(zero[:, 0], kind="stable")])
-    changes = _merged([p.changes[0 if len(phases) else 1] for p in parts])
-    steps = _middle(_merged([p.steps for p in parts]))
-    lengths = _merged([*(p.lengths for p in parts), _counted(np.array([r[2] for r in runs], dtype=np.int64))])
-    resolution = min(p.resolution for p in parts)
-    step = max(steps, resolution) if np.isfinite(resolution) else steps
-    return Facts(_noise(changes), phases, usual, np.array(long, dtype=np.int64).reshape(-1, 3), step, _longest(lengths), sum(p.readings for p in parts))
+    steps = _middle(p.steps)
+    step = max(steps, p.resolution) if np.isfinite(p.resolution) else steps
+    long = np.array(sorted(p.long), dtype=np.int64).reshape(-1, 3)
+    return Facts(_noise(p.changes[0 if len(phases) else 1]), phases, usual, long, step, _longest(_merged([p.lengths, _lengths(ends)])), p.readings)
 
 
 def _phases(zero: np.ndarray) -> tuple[np.ndarray, float]:
@@ -465,7 +493,15 @@ def judged_readings(samples: DataFrame) -> DataFrame:
     after = F.when((inside >= F.col("per") - F.col("margin")) & ((k + 1) * F.col("per") < F.col("n")), k + 1)
     rows = rows.withColumn("k", k)
     parts = rows.groupBy("series_ref", "k").applyInPandas(_part_group, "series_ref long, k long, t0 long, t1 long, part binary")
-    facts = checkpointed(parts.groupBy("series_ref").applyInPandas(_hand_out, "series_ref long, p long, facts binary"))
+    parts = checkpointed(parts)
+    most = sizes.agg(F.max(F.ceil(F.col("n") / F.col("per")))).head()[0] or 0
+    joined = parts.select("series_ref", F.col("k").alias("k0"), "part")
+    while most > FAN:  # a task never gets more than FAN parts of a source
+        joined = joined.withColumn("k", F.floor(F.col("k0") / FAN)).groupBy("series_ref", "k").applyInPandas(_join_parts, "series_ref long, k0 long, part binary")
+        most = -(-most // FAN)
+    facts = joined.groupBy("series_ref").applyInPandas(_facts_of_source, "series_ref long, facts binary")
+    facts = parts.select("series_ref", "k", "t0", "t1").groupBy("series_ref").cogroup(facts.groupBy("series_ref")).applyInPandas(_hand_out, "series_ref long, p long, facts binary")
+    facts = checkpointed(facts)
     rows = rows.withColumn("p", F.explode(F.array_compact(F.array("k", near, after))))
     rows = rows.select("series_ref", "p", "sample_ts", "value", "low", "high", (F.col("p") == F.col("k")).alias("own"))
     # The facts of a period are one more row of it, and so is the forest of its source.
@@ -503,10 +539,23 @@ def _part_group(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"series_ref": [int(g["series_ref"].iloc[0])], "k": [int(g["k"].iloc[0])], "t0": [ts[0]], "t1": [ts[-1]], "part": [part]})
 
 
-def _hand_out(g: pd.DataFrame) -> pd.DataFrame:
+def _in_turn(g: pd.DataFrame) -> list[Part]:
+    return [pickle.loads(p) for p in g.sort_values("k0")["part"]]
+
+
+def _join_parts(g: pd.DataFrame) -> pd.DataFrame:
+    """The parts of up to FAN periods in a row as one."""
+    return pd.DataFrame({"series_ref": g["series_ref"].iloc[:1], "k0": g["k"].iloc[:1], "part": [pickle.dumps(reduce(_joined, _in_turn(g)))]})
+
+
+def _facts_of_source(g: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"series_ref": g["series_ref"].iloc[:1], "facts": [pickle.dumps(_facts(_in_turn(g)))]})
+
+
+def _hand_out(periods: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
     """The facts of a source for each of its periods, with the phases and runs that its readings and margins may touch."""
-    g = g.sort_values("k")
-    facts = _facts([pickle.loads(p) for p in g["part"]])
+    g = periods.sort_values("k")
+    facts = pickle.loads(given["facts"].iloc[0])
     t0, t1 = g["t0"].to_numpy(), g["t1"].to_numpy()
     out = []
     for i in range(len(g)):
