@@ -47,8 +47,9 @@ def uniform(f: SeriesFrame, tags: list[str]) -> SeriesFrame:
     if f.step is not None:
         return f
     gid = label_key(tags) if tags else F.lit("g")
-    w = Window.partitionBy("gid")
-    m = f.meta.withColumn("gid", gid).withColumns({"to": F.max("g_step").over(w), "base": F.min("g_min").over(w), "top": F.max("g_max").over(w)})
+    m = f.meta.withColumn("gid", F.coalesce(gid, F.lit(NO_GROUP)))
+    scope = m.groupBy("gid").agg(F.max("g_step").alias("to"), F.min("g_min").alias("base"), F.max("g_max").alias("top"))
+    m = m.join(scope, "gid")
     m = m.withColumn("top", F.col("base") + F.floor((F.col("top") - F.col("base")) / F.col("to")) * F.col("to"))
     counts = F.lower(F.col("labels")["type"]).isin("counter", "counts")
     p = f.points.join(m.select("sid", "to", "base", "top", F.coalesce(counts, F.lit(False)).alias("counts")), "sid")
